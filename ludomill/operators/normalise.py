@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ludomill.functions import scalars as S
 from ludomill.functions.text import block_similarity
 from ludomill.operators.ordered import last_per_key, top_per_key
 from ludomill.sources import schemas
 
-HIT = StructType.fromDDL(schemas.GAMES + ", " + schemas.GAME_EXTRAS)
+HIT_FIELDS = dict(part.split() for part in f"{schemas.GAMES}, {schemas.GAME_EXTRAS}".split(","))
 
 
 def _default(kind: str) -> Column:
@@ -33,10 +32,9 @@ def empty_hit() -> Column:
 def game_record(known: dict[str, Column]) -> Column:
     """A full record from the known fields; the others hold their "unknown" value."""
     fields = []
-    for field in HIT.fields:
-        kind = field.dataType.simpleString()
-        value = known[field.name].cast(kind) if field.name in known else _default(kind)
-        fields.append(value.alias(field.name))
+    for name, kind in HIT_FIELDS.items():
+        value = known[name].cast(kind) if name in known else _default(kind)
+        fields.append(value.alias(name))
     return F.struct(*fields)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def user_item_ratings(reviews: DataFrame, how: str = "mean") -> DataFrame:
     return known.groupBy("user_id", "game_id").agg(measure("rating").alias("rating"))
 
 
-def one_review_per_pair(reviews: DataFrame, how: str = "all") -> DataFrame:
+def one_review_per_pair(reviews: DataFrame, how: str = "all", order: Sequence[str] = ("ts", "review_id")) -> DataFrame:
     """Reviews with repeats of a (user, game) pair kept (``all``) or joined.
 
     ``max`` keeps the best-rated review (the latest of equals), ``mean`` the
@@ -109,9 +111,9 @@ def one_review_per_pair(reviews: DataFrame, how: str = "all") -> DataFrame:
         return reviews
     keys = ["user_id", "game_id"]
     if how == "max":
-        return last_per_key(reviews.filter("rating is not null"), keys, ["rating", "ts", "review_id"])
+        return last_per_key(reviews.filter("rating is not null"), keys, ["rating", *order])
     kept = [c for c in reviews.columns if c not in (*keys, "rating")]
-    latest = F.max_by(F.struct(*kept), F.struct("ts", "review_id")).alias("_row")
+    latest = F.max_by(F.struct(*kept), F.struct(*order)).alias("_row")
     return reviews.groupBy(*keys).agg(F.avg("rating").alias("rating"), latest).select(*keys, "rating", "_row.*")
 
 

@@ -34,7 +34,7 @@ def transitions(
         raise ValueError(f"unknown terminal mode {terminal!r}")
     order = ["ts", "review_id"] if ordered_by_time else ["review_id"]
     narrow = reviews.select("review_id", "user_id", "game_id", "rating", *order[:-1]).filter("user_id is not null")
-    history = one_review_per_pair(narrow, repeats)
+    history = one_review_per_pair(narrow, repeats, order)
     if terminal == "last_kept":
         history = history.join(games.select("game_id"), "game_id", "left_semi")
 
