@@ -78,12 +78,14 @@ def scaled_to_signed(df: DataFrame, vector: str, width: int, name: str) -> DataF
     spans = [F.struct(F.min(F.get(vector, F.lit(i))), F.max(F.get(vector, F.lit(i)))) for i in range(width)]
     # One row with one (low, high) pair per dimension.
     bounds = df.select(F.array(*[s.cast("struct<low:double,high:double>") for s in spans])).scalar()
+    # The subquery has to be a column of its own before a lambda may read it.
+    bounded = df.withColumn("_bounds", bounds)
     scaled = F.zip_with(
         vector,
-        bounds,
+        "_bounds",
         lambda x, b: F.coalesce(F.try_divide(2 * (x - b["low"]), b["high"] - b["low"]) - 1, F.lit(0.0)),
     )
-    return df.withColumn(name, scaled)
+    return bounded.withColumn(name, scaled).drop("_bounds")
 
 
 def platform_vector(games: DataFrame, platforms: str = "platforms", count: int = 10) -> tuple[Column, list[str]]:

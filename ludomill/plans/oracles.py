@@ -142,7 +142,7 @@ add("golden_record", f"""with {ANSWERS}, e as (select *, p_type = 'SMALL' as sma
   cast(completionist as double) as completionist, description, cast(rawg_rating as double) as rawg_rating,
   cast(igdb_rating as double) as igdb_rating, cast(hltb_rating as double) as hltb_rating,
   cast(metacritic_rating as double) as metacritic_rating, cast(user_rating as double) as user_rating,
-  array_to_string(platforms, '|') as platforms, array_to_string(cover_url, '|') as cover_url,
+  array_to_string(platforms, '|') as platforms, coalesce(array_to_string(cover_url, '|'), '') as cover_url,
   array_to_string(developers, '|') as developers, array_to_string(publishers, '|') as publishers,
   array_to_string(language_supports, '|') as language_supports, array_to_string(genres, '|') as genres,
   array_to_string(keywords, '|') as keywords, cast(len(keywords) as int) as n_keywords, cast(len(cover_url) as int) as n_covers from f""")
@@ -198,8 +198,8 @@ _XML = {
     "description": f"case when p_type <> 'SMALL' then 'deck ' || {Q} end",
 }
 add("xml_game_records", record("p_brand as themes", **_XML))
-add("xml_game_scan", f"""select cast(p_partkey as bigint) as id, {_XML['name']} as name, {_XML['release']} as release,
-  {_XML['description']} as description, {_XML['genres']} as genres from part""")
+add("xml_game_scan", f"""select p_partkey as id, {Q} as name, (p_size + 1990) || '-03-01' as release,
+  case when p_type <> 'SMALL' then 'deck' end as description, {W1} || '|' || {W2} as genres, p_brand as themes from part""")
 
 CATALOGUE = """catalogue as (select p_partkey as entry_id, case when p_size <= 10 then p_name
     when p_size <= 20 then array_to_string([upper(left(w, 1)) || substr(w, 2) for w in string_split(p_name, ' ')], ' ')

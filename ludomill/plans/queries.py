@@ -20,7 +20,7 @@ from ludomill.operators import transitions as M
 from ludomill.operators.ordered import dense_title_ids, with_position
 from ludomill.operators.static_tables import keep_columns
 from ludomill.plans import tables as T
-from ludomill.session import fresh_folder
+from ludomill.session import fresh_folder, settle
 from ludomill.sources import readers, sinks
 from ludomill.streaming import incremental as I
 
@@ -556,8 +556,8 @@ def reward_model(spark, folder):
 def reward_model_states(spark, folder):
     """The reward model on whole states and actions, evaluated on the logged actions."""
     games, terms = _action_games(spark, folder)
-    rows = M.transitions(T.event_reviews(spark, folder), games, len(terms))
-    inputs = V.reward_inputs(rows, len(terms))
+    rows = settle(M.transitions(T.event_reviews(spark, folder), games, len(terms)))
+    inputs = settle(V.reward_inputs(rows, len(terms)).select("features", "reward"))
     return V.policy_value(V.fit_reward(inputs, ridge=0.01), inputs)
 
 
@@ -689,11 +689,23 @@ def xml_review_scan(spark, folder):
 
 @query
 def xml_game_scan(spark, folder):
-    """Landed XML answers as text files, scanned for games at any depth."""
+    """Parts written as XML documents with games two levels down, scanned for games at any depth."""
+    word = F.split("p_name", " ")
+    game = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.col("query_name").alias("name"),
+        F.array(F.struct(F.col("p_brand").alias("name"))).alias("theme"),
+        F.array(F.struct(word[0].alias("name")), F.struct(word[1].alias("name"))).alias("genre"),
+        F.when(F.col("p_type") != "SMALL", F.lit("deck")).alias("description"),
+        F.concat((F.col("p_size") + 1990).cast("string"), F.lit("-03-01 12:00:00")).alias("release_date"),
+    )
     path = fresh_folder(spark, "xml-games")
-    T.xml_payloads(T.looked_up(spark, folder)).select("payload").write.text(path)
+    rows = T.looked_up(spark, folder).select(F.struct(game.alias("game")).alias("results"))
+    rows.write.format("xml").option("rootTag", "pages").option("rowTag", "response").save(path)
     games = readers.read_xml_games(spark, path).select(N.xml_game_record(F.struct("*")).alias("g"))
-    return games.select("g.id", "g.name", "g.release", "g.description", joined("g.genres").alias("genres"))
+    return games.select(
+        "g.id", "g.name", "g.release", "g.description", joined("g.genres").alias("genres"), joined("g.themes").alias("themes")
+    )
 
 
 @query
