@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEXT_LIST = "array<string>"
 NEUTRAL_RATING = 5.0
 
 
@@ -20,7 +19,7 @@ def _col(value: Column | str) -> Column:
 
 
 def no_texts() -> Column:
-    return F.array().cast(TEXT_LIST)
+    return F.expr("cast(array() as array<string>)")
 
 
 def first_text(*values: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors, VectorUDT
@@ -45,8 +46,10 @@ def item_factors(ratings: DataFrame, count: int = FACTORS, scaled: bool = False)
     as_vector = F.udf(row_vector, VectorUDT(), useArrow=False)
     cells = F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "rating")))
     by_user = known.join(places, "game_id").groupBy("user_id").agg(cells.alias("cells"))
-    rows = settle(by_user.select(as_vector("cells").alias("row")))
+    # The solver passes over the rows once per step.
+    rows = by_user.select(as_vector("cells").alias("row")).persist(StorageLevel.MEMORY_AND_DISK)
     svd = RowMatrix(rows, 0, items).computeSVD(count)
+    rows.unpersist()
 
     factors = svd.V.toArray()
     found = factors.shape[1]

@@ -19,14 +19,10 @@ HIT_FIELDS = dict(part.split() for part in f"{schemas.GAMES}, {schemas.GAME_EXTR
 
 
 def _default(kind: str) -> Column:
+    """How a field of this type spells "unknown"."""
     if kind.startswith("array"):
         return S.no_texts()
-    return F.lit("").cast(kind) if kind == "string" else F.lit(0).cast(kind)
-
-
-def empty_hit() -> Column:
-    """The record of a source that found nothing."""
-    return game_record({})
+    return F.lit("") if kind == "string" else F.expr(f"cast(0 as {kind})")
 
 
 def game_record(known: dict[str, Column]) -> Column:

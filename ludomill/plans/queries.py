@@ -241,9 +241,8 @@ def _lookup_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def accepted_hits(spark, folder):
     verified = R.verify_hits(_lookup_titles(spark, folder), _sources(spark, folder))
-    return verified.select(
-        "game_name", "anchor_release", *[F.col(f"{s}.name").alias(f"{s}_name") for s in (R.ANCHOR, *R.OTHERS)]
-    )
+    names = [F.coalesce(f"{s}.name", F.lit("")).alias(f"{s}_name") for s in (R.ANCHOR, *R.OTHERS)]
+    return verified.select("game_name", F.coalesce("gamespot.release", F.lit("")).alias("anchor_release"), *names)
 
 
 @query

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call sites per expression double the time to build the wide records.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
