@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -77,17 +77,22 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _word_model(width: int, min_count: int, partitions: int, iterations: int) -> Word2Vec:
+def _word_model(
+    sentences: DataFrame, width: int, min_count: int, partitions: int | None, iterations: int
+) -> Word2VecModel:
+    """Train on ``words``; as many parts as run side by side, for each part trains by itself in between."""
+    spark = sentences.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return Word2Vec(
         vectorSize=width,
         minCount=min_count,
-        numPartitions=partitions,
+        numPartitions=partitions or min(shuffle, spark.sparkContext.defaultParallelism),
         maxIter=iterations,
         seed=SEED,
         maxSentenceLength=SENTENCE_WORDS,
         inputCol="words",
         outputCol="_mean",
-    )
+    ).fit(sentences)
 
 
 def description_vectors(
@@ -100,9 +105,8 @@ def description_vectors(
     iterations: int = 1,
 ) -> DataFrame:
     """Mean word vector of each whole text; the word vectors are trained on the same texts."""
-    partitions = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokenised = texts.select(key, words(text).alias("words"))
-    model = _word_model(width, min_count, partitions, iterations).fit(tokenised)
+    model = _word_model(tokenised, width, min_count, partitions, iterations)
     return model.transform(tokenised).select(key, vector_to_array("_mean").alias("vector"))
 
 
@@ -129,8 +133,7 @@ def title_vectors(
     iterations: int = 1,
 ) -> DataFrame:
     """One vector per game from the company it keeps in play histories: ``game_id, vector``."""
-    partitions = partitions or int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = _word_model(width, min_count, partitions, iterations).fit(play_sentences(reviews))
+    model = _word_model(play_sentences(reviews), width, min_count, partitions, iterations)
     return model.getVectors().select(
         F.col("word").cast("long").alias("game_id"), vector_to_array("vector").alias("vector")
     )

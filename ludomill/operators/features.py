@@ -64,11 +64,10 @@ def multi_hot_rows(df: DataFrame, key: str, labels: str) -> DataFrame:
 def scaled_to_unit(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """``column`` min-max scaled to 0..1; a constant column becomes 0.5.
 
-    The two bounds are scalar subqueries: no extra join, no driver round trip.
+    The bounds are one scalar subquery: no extra join, no driver round trip.
     """
-    low = df.select(F.min(column)).scalar()
-    high = df.select(F.max(column)).scalar()
-    value = F.col(column).cast("double")
+    bounds = df.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    value, low, high = F.col(column).cast("double"), bounds["low"], bounds["high"]
     scaled = F.when(value.isNotNull(), F.coalesce(F.try_divide(value - low, high - low), F.lit(0.5)))
     return df.withColumn(name or column, scaled)
 
@@ -121,10 +120,10 @@ def game_features(
     platforms, _ = platform_vector(games, count=VECTOR_PARTS["platform"])
     rows = games.withColumn("_year", S.release_year("release"))
     rows = rows.join(user_scores.select("game_id", "user_score"), "game_id", "left")
-    for mark, vectors in (("_title", title_vectors), ("_text", text_vectors), ("_item", item_vectors)):
-        rows = rows.join(vectors.select("game_id", F.col("vector").alias(mark)), "game_id", "left")
     for column in ("_year", "metacritic_rating", "user_score"):
         rows = scaled_to_unit(rows, column, f"_unit_{column}")
+    for mark, vectors in (("_title", title_vectors), ("_text", text_vectors), ("_item", item_vectors)):
+        rows = rows.join(vectors.select("game_id", F.col("vector").alias(mark)), "game_id", "left")
     parts: Mapping[str, Column] = {
         "title": F.col("_title"),
         "description": F.col("_text"),

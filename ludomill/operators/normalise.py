@@ -172,18 +172,12 @@ def xml_game_hits(searches: DataFrame, count: int = 1) -> DataFrame:
 
 
 def title_candidates(searches: DataFrame) -> DataFrame:
-    """Results of kind ``game-title`` of answers that hold data, with their similarity to the query."""
+    """Results of kind ``game-title`` of the answers that hold data."""
     data = F.from_json("payload", schemas.METACRITIC_SEARCH)["data"]
     rows = searches.select("query_name", data.alias("data")).filter("data is not null")
     items = rows.select("query_name", F.posexplode("data.items").alias("pos", "item"))
     titles = items.filter(F.col("item.type") == "game-title")
-    return titles.select(
-        "query_name",
-        "pos",
-        F.col("item.title").alias("title"),
-        F.col("item.slug").alias("slug"),
-        block_similarity(F.col("item.title"), F.col("query_name")).alias("similarity"),
-    )
+    return titles.select("query_name", "pos", F.col("item.title").alias("title"), F.col("item.slug").alias("slug"))
 
 
 def metacritic_hits(searches: DataFrame, pages: DataFrame, count: int = 1) -> DataFrame:
@@ -193,7 +187,8 @@ def metacritic_hits(searches: DataFrame, pages: DataFrame, count: int = 1) -> Da
     """
     parsed = pages.select("slug", F.from_json("payload", schemas.METACRITIC_PAGE)["components"].alias("components"))
     usable = parsed.filter(complete_page(F.col("components")))
-    scored = title_candidates(searches).join(usable, "slug")
+    # Scored after the join: results without a usable page need no score.
+    scored = title_candidates(searches).join(usable, "slug").withColumn("similarity", block_similarity("title", "query_name"))
     best = top_per_key(scored, ["query_name"], [F.desc("similarity"), F.asc("pos")], count)
     return best.select(
         "query_name", (F.col("rank") - 1).alias("pos"), metacritic_record(F.col("components")).alias("game")
@@ -202,6 +197,7 @@ def metacritic_hits(searches: DataFrame, pages: DataFrame, count: int = 1) -> Da
 
 def best_slug(searches: DataFrame) -> DataFrame:
     """The slug whose title is most alike the query; the first wins ties, a similarity of 0 never matches."""
-    scored = title_candidates(searches).filter("similarity > 0")
+    rows = title_candidates(searches).withColumn("similarity", block_similarity("title", "query_name"))
+    scored = rows.filter("similarity > 0")
     best = F.min_by("slug", F.struct(-F.col("similarity"), F.col("pos"))).alias("slug")
     return scored.groupBy("query_name").agg(best)
