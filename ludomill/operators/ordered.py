@@ -8,8 +8,12 @@ the totals of earlier chunks, one short row per (key, chunk), are added on.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ BEFORE = "_before_"
 CHUNK_TOTAL = "_total_"
 IN_CHUNK = "_in_chunk_"
 
+# Chunk offsets up to this size are sent to every task.
+BROADCAST_BYTES = 64 << 20
+
 
 def in_chunks(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Number the even, contiguous stretches of the order over all rows.
@@ -33,6 +40,12 @@ def in_chunks(df: DataFrame, order: Sequence[str], chunks: int | None = None) ->
     return settle(df.repartitionByRange(count, *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
+def _crossing(chunked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that lie in more than one chunk: fewer than there are chunks, for each border cuts one key."""
+    spans = chunked.groupBy(*keys).agg(F.min(CHUNK).alias("_low"), F.max(CHUNK).alias("_high"))
+    return spans.filter("_low < _high").select(*keys)
+
+
 def totals_before(
     chunked: DataFrame,
     keys: Sequence[str],
@@ -58,19 +71,99 @@ def totals_before(
         }
     ).drop(*[CHUNK_TOTAL + n for n in names])
 
-    # One row per (key, chunk): at most as many per key as there are chunks.
-    per_chunk = valued.groupBy(*group).agg(*[F.sum(CHUNK_TOTAL + n).alias(CHUNK_TOTAL + n) for n in names])
+    # Only keys that cross a border need anything from other chunks.
+    cut = valued.join(_crossing(chunked, keys), list(keys), "left_semi") if keys else valued
+    per_chunk = cut.groupBy(*group).agg(*[F.sum(CHUNK_TOTAL + n).alias(CHUNK_TOTAL + n) for n in names])
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier_chunks = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(
         *group,
-        *[F.coalesce(F.sum(CHUNK_TOTAL + n).over(earlier_chunks), F.lit(0)).alias(BEFORE + n) for n in names],
+        *[F.sum(CHUNK_TOTAL + n).over(earlier_chunks).alias(BEFORE + n) for n in names],
         F.lead(F.lit(1)).over(over_chunks).isNull().alias("_last_chunk"),
     )
-    joined = inside.join(offsets, group)
-    return joined.withColumns(
-        {**{n: F.col(IN_CHUNK + n) + F.col(BEFORE + n) for n in names}, LAST: F.col(LAST) & F.col("_last_chunk")}
-    ).drop(CHUNK, "_last_chunk", *[IN_CHUNK + n for n in names], *[BEFORE + n for n in names])
+    joined = inside.join(offsets, group, "left")
+    last = F.col(LAST) & F.coalesce("_last_chunk", F.lit(True))
+    sums = {n: F.col(IN_CHUNK + n) + F.coalesce(BEFORE + n, F.lit(0)) for n in names}
+    helpers = [mark + n for n in names for mark in (IN_CHUNK, BEFORE)]
+    return joined.withColumns({**sums, LAST: last}).drop(CHUNK, "_last_chunk", *helpers)
+
+
+def _running(width: int, out: str):
+    """A scan of sorted rows with ``_group`` and ``_values``.
+
+    Adds the sum of ``_values`` over the group's earlier rows as ``out`` and
+    ``_end``, true on the group's last row.  Batches wait for the next one,
+    which tells whether their last row ends its group.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, waiting = None, np.zeros(width), None
+
+        def finished(ends_group: bool) -> pa.RecordBatch:
+            names, columns, ends = waiting
+            ends[-1] = ends_group
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ends)], names=[*names, "_end"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            labels = np.asarray(batch.column("_group").to_pylist(), dtype=object)
+            values = batch.column("_values").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            changes = np.append(labels[1:] != labels[:-1], True)
+            if waiting is not None:
+                yield finished(labels[0] != group)
+            before = np.empty_like(values)
+            stops = np.flatnonzero(changes) + 1
+            for start, stop in zip([0, *stops[:-1]], stops):
+                if labels[start] != group:
+                    group, total = labels[start], np.zeros(width)
+                sums = total + np.cumsum(values[start:stop], axis=0)
+                before[start], before[start + 1 : stop] = total, sums[:-1]
+                total = sums[-1]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(labels) + 1, dtype="int32") * width), pa.array(before.ravel())
+            )
+            kept = [name for name in batch.schema.names if name not in ("_group", "_values")]
+            waiting = [*kept, out], [*[batch.column(n) for n in kept], lists], changes
+        if waiting is not None:
+            yield finished(True)
+
+    return scan
+
+
+def _scanned(rows: DataFrame, within: Sequence[str], order: Sequence[str], width: int, out: str) -> DataFrame:
+    """Run the scan over each ``within`` group of ``rows`` in ``order``."""
+    labelled = rows.withColumn("_group", F.concat_ws(",", *[F.col(k).cast("string") for k in within]))
+    placed = labelled.repartition(*within).sortWithinPartitions(*within, *order)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_values"]
+    return placed.mapInArrow(_running(width, out), ", ".join([*kept, f"{out} array<double>", "_end boolean"]))
+
+
+def vector_before(
+    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], vector: Column, width: int, name: str
+) -> DataFrame:
+    """:func:`totals_before` for one wide vector: the sum over the key's earlier rows as ``name``.
+
+    Hundreds of window columns are slow to plan and to run; here each sorted
+    chunk streams through numpy, a batch at a time.  Also adds ``LAST``.
+    """
+    group = [*keys, CHUNK]
+    valued = chunked.withColumn("_values", vector.cast("array<double>"))
+    inside = _scanned(valued, group, order, width, "_inside").withColumnRenamed("_end", LAST)
+
+    cut = valued.join(_crossing(chunked, keys), list(keys), "left_semi")
+    per_chunk = cut.groupBy(*group).agg(vector_to_array(Summarizer.sum(array_to_vector("_values"))).alias("_values"))
+    offsets = _scanned(per_chunk, keys, [CHUNK], width, "_before").withColumnRenamed("_end", "_last_chunk")
+
+    # A chunk borders on two others, so the offsets have at most two rows per chunk.
+    chunks = int(chunked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if 2 * chunks * width * 8 <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    joined = inside.join(offsets, group, "left")
+    summed = F.zip_with("_inside", "_before", lambda x, y: x + y)
+    last = F.col(LAST) & F.coalesce("_last_chunk", F.lit(True))
+    result = joined.withColumns({name: F.coalesce(summed, "_inside"), LAST: last})
+    return result.drop(CHUNK, "_inside", "_before", "_last_chunk")
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

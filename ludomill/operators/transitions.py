@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludomill.functions import scalars as S
-from ludomill.operators.ordered import LAST, in_chunks, last_per_key, totals_before
+from ludomill.operators.ordered import LAST, in_chunks, last_per_key, totals_before, vector_before
 from ludomill.operators.reviews import one_review_per_pair
 
+# Up to this width the running sums are window columns, above it numpy scans.
+WINDOW_WIDTH = 64
+
 
 def transitions(
     reviews: DataFrame,
@@ -41,16 +44,26 @@ def transitions(
     # Narrow rows are cut into chunks; the wide vectors are joined on after.
     chunked = in_chunks(history, ["user_id", *order])
     known = chunked.join(games.select("game_id", "vector"), "game_id", "left")
-    sums = {f"_sum{i}": F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)) for i in range(width)}
-    seen = {"_seen": F.col("vector").isNotNull().cast("long")}
-    scanned = totals_before(known, ["user_id"], order, {**seen, **sums}).filter("vector is not null")
-
-    mean = [F.coalesce(F.try_divide(F.col(f"_sum{i}"), F.col("_seen")), F.lit(0.0)) for i in range(width)]
-    return scanned.select(
+    if width > WINDOW_WIDTH:
+        blank = F.array_repeat(F.lit(0.0), width)
+        counted = F.concat(
+            F.coalesce(F.col("vector").cast("array<double>"), blank),
+            F.array(F.col("vector").isNotNull().cast("double")),
+        )
+        scanned = vector_before(known, ["user_id"], order, counted, width + 1, "_sums")
+        seen = F.element_at("_sums", -1)
+        means = F.transform(F.slice("_sums", 1, width), lambda x: F.coalesce(F.try_divide(x, seen), F.lit(0.0)))
+    else:
+        sums = {f"_sum{i}": F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)) for i in range(width)}
+        counts = {"_seen": F.col("vector").isNotNull().cast("long")}
+        scanned = totals_before(known, ["user_id"], order, {**counts, **sums})
+        seen = F.col("_seen")
+        means = F.array(*[F.coalesce(F.try_divide(F.col(n), seen), F.lit(0.0)) for n in sums])
+    return scanned.filter("vector is not null").select(
         "user_id",
-        (F.col("_seen") + 1).cast("int").alias("step"),
+        (seen + 1).cast("int").alias("step"),
         "review_id",
-        S.as_floats(F.array(*mean)).alias("observation"),
+        S.as_floats(means).alias("observation"),
         S.as_floats("vector").alias("action"),
         S.scaled_reward("rating").cast("float").alias("reward"),
         F.col(LAST).cast("float").alias("terminal"),

@@ -283,6 +283,14 @@ add("mdp_transitions", f"""with {STEPS}, {VOCAB.format('known')},
   coalesce(round(cast(sum(act) over w as double) / (step - 1), 5), 0.0) as obs, cast(act as double) as action,
   round((rating - 5) / 5, 5) as reward, terminal
   from x window w as (partition by user_id, dim order by step rows between unbounded preceding and 1 preceding)""")
+add("mdp_wide", f"""with {REVIEWS}, {GAMES}, {KNOWN},
+  t as (select *, case when row_number() over (partition by user_id order by ts desc, review_id desc) = 1 then 1 else 0 end
+    as terminal from reviews),
+  k as (select t.*, 324 * 325 / 2 + 324 * hours as cell, row_number() over (partition by user_id order by ts, review_id) as step
+    from t join known using (game_id))
+  select user_id, cast(step as int) as step, review_id,
+  cast(coalesce(sum(cell) over (partition by user_id order by step rows between unbounded preceding and 1 preceding), 0)
+    as bigint) as earlier_sum, 324 as width, terminal from k""")
 add("mdp_last_kept", f"""with {REVIEWS}, {GAMES}, {KNOWN}, o as (select * from reviews
     qualify row_number() over (partition by user_id, game_id order by rating desc, ts desc, review_id desc) = 1)
   select user_id, cast(row_number() over (partition by user_id order by ts, review_id) as int) as step, review_id,

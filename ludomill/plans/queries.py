@@ -502,6 +502,25 @@ def mdp_transitions(spark, folder):
     return _long_form(M.transitions(T.event_reviews(spark, folder), games, len(terms)), terms)
 
 
+@query
+def mdp_wide(spark, folder):
+    """Transitions over vectors as wide as the item vectors, summed up per step."""
+    width = sum(Z.VECTOR_PARTS.values())
+    cells = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.col("hours") + i)
+    games = T.catalogued_games(spark, folder).select("game_id", cells.alias("vector"))
+    rows = M.transitions(T.event_reviews(spark, folder), games, width)
+    # Whole numbers again, whatever the mean's single precision.
+    earlier = F.transform("observation", lambda x: F.round(x.cast("double") * (F.col("step") - 1)).cast("long"))
+    return rows.select(
+        "user_id",
+        "step",
+        "review_id",
+        F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x).alias("earlier_sum"),
+        F.size("observation").alias("width"),
+        F.col("terminal").cast("int").alias("terminal"),
+    )
+
+
 @query
 def mdp_last_kept(spark, folder):
     games, terms = _action_games(spark, folder)
