@@ -46,8 +46,9 @@ def item_factors(ratings: DataFrame, count: int = FACTORS, scaled: bool = False)
     as_vector = F.udf(row_vector, VectorUDT(), useArrow=False)
     cells = F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "rating")))
     by_user = known.join(places, "game_id").groupBy("user_id").agg(cells.alias("cells"))
-    # The solver passes over the rows once per step.
-    rows = by_user.select(as_vector("cells").alias("row")).persist(StorageLevel.MEMORY_AND_DISK)
+    # The solver passes over the rows once per step: stored in as few parts as
+    # their size asks for, and kept in memory where there is room.
+    rows = settle(by_user.select(as_vector("cells").alias("row"))).persist(StorageLevel.MEMORY_AND_DISK)
     svd = RowMatrix(rows, 0, items).computeSVD(count)
     rows.unpersist()
 

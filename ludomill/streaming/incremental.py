@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,10 @@ def read_feedback(spark: SparkSession, path: str, schema: str, before: int | Non
     rows = spark.read.schema(f"{schema}, bucket int, version long").parquet(path)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
-    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["bucket", "version"])
+    # At most one pair per bucket; as plain conditions they keep old versions from being read.
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    current = [(F.col("bucket") == n.bucket) & (F.col("version") == n.version) for n in newest]
+    return rows.filter(reduce(or_, current, F.lit(False)))
 
 
 def apply_feedback(

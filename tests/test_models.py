@@ -39,8 +39,9 @@ def test_games_share_a_vector_and_lose_rows_without(spark):
 
 
 @pytest.mark.parametrize("measure", ["cosine", "dot"])
-@pytest.mark.parametrize("block", [7, 1000])
-def test_best_items_over_blocks(spark, measure, block):
+@pytest.mark.parametrize("block", [7, 0])
+def test_best_items_in_blocks_and_broadcast(spark, monkeypatch, measure, block):
+    monkeypatch.setattr(V, "QUERY_FACTOR", 2)
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 6)), rng.normal(size=(30, 6))
     b[5] = b[4]
@@ -59,7 +60,9 @@ def test_best_items_over_blocks(spark, measure, block):
         allowed = [i for i in range(30) if not (q % 2 and i == q % 30)]
         best = sorted(allowed, key=lambda i: (-round(scores[q, i], 6), i))[:4]
         expected |= {(q, rank + 1, i) for rank, i in enumerate(best)}
-    found = V.best_items(queries, items, 4, measure, block_rows=block).collect()
+    found = V.best_items(
+        queries, items, 4, measure, broadcast_bytes=0 if block else 1 << 20, block_rows=block
+    ).collect()
     assert {(r.query_id, r.rank, r.item_id) for r in found} == expected
 
 
