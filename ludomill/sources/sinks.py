@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -21,11 +21,21 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     writer.option("header", True).option("escape", '"').csv(path)
 
 
-def write_transitions(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Transitions in folders by user hash.
+def write_transitions(df: DataFrame, path: str, buckets: int = 64) -> dict[str, int]:
+    """Transitions in folders by user hash; returns their number, the terminals and the vector widths.
 
     The rebalance hint lets adaptive execution size the files: small buckets
     are joined, and the bucket of a very active user is split over many tasks.
+    The counts are taken while the rows pass by, without a second run.
     """
-    keyed = df.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    shape = Observation("transitions")
+    counted = df.observe(
+        shape,
+        F.count("*").alias("transitions"),
+        F.coalesce(F.sum("terminal"), F.lit(0)).cast("long").alias("terminals"),
+        F.coalesce(F.max(F.size("observation")), F.lit(0)).alias("observation_width"),
+        F.coalesce(F.max(F.size("action")), F.lit(0)).alias("action_width"),
+    )
+    keyed = counted.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
     keyed.hint("rebalance", "user_bucket").write.mode("overwrite").partitionBy("user_bucket").parquet(path)
+    return shape.get

@@ -68,8 +68,12 @@ def test_feeds(spark):
 
 def test_transitions_in_user_folders(spark, tmp_path):
     path = str(tmp_path / "t")
-    rows = spark.range(100).select((F.col("id") % 7).alias("user_id"), F.array(F.lit(1.0)).alias("observation"))
-    sinks.write_transitions(rows, path, buckets=4)
+    one = F.array(F.lit(1.0))
+    rows = spark.range(100).select(
+        (F.col("id") % 7).alias("user_id"), one.alias("observation"), one.alias("action"), (F.col("id") > 92).cast("float").alias("terminal")
+    )
+    shape = sinks.write_transitions(rows, path, buckets=4)
+    assert shape == {"transitions": 100, "terminals": 7, "observation_width": 1, "action_width": 1}
     back = spark.read.parquet(path)
     assert back.count() == 100
     assert back.groupBy("user_id").agg(F.count_distinct("user_bucket").alias("n")).filter("n > 1").count() == 0
