@@ -11,7 +11,7 @@ ORDERED = """ordered as (select l_orderkey * 8 + l_linenumber as review_id, o_cu
   l_quantity / 5.0 as rating, l_shipdate as ts from lineitem join orders on l_orderkey = o_orderkey)"""
 GAMES = """games as (select p_partkey as game_id, p_name as title, string_split(p_name, ' ') as genres,
   p_type as platform, p_brand as developer, cast(p_size as double) as hours,
-  (p_retailprice - 900) / 100 as critic, cast(1990 + p_partkey % 30 as int) as release_year from part)"""
+  (p_retailprice - 900) / 100 as critic, cast(1970 + p_size as int) as release_year from part)"""
 KNOWN = "known as (select * from games where platform <> 'PROMO')"
 FEED_A = """feed_a as (select c_name as author, l_quantity / 5.0 as score, p_name as game_name,
   strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as date

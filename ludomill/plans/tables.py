@@ -49,7 +49,7 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_brand").alias("developer"),
         F.col("p_size").cast("double").alias("hours"),
         ((F.col("p_retailprice") - 900) / 100).alias("critic"),
-        (F.lit(1990) + F.col("p_partkey") % 30).cast("int").alias("release_year"),
+        (F.lit(1970) + F.col("p_size")).alias("release_year"),
     )
 
 
