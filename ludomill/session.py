@@ -64,11 +64,13 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and go on from the stored rows.
+    """Write ``df`` as a table into the shared folder and go on from the written rows.
 
     Used where later steps must all see the very same rows (partition numbers,
     for one, may differ if a range exchange is sampled twice) and where a
-    recomputation after losing executors must not change them.
+    recomputation after losing executors must not change them.  A table rather
+    than a checkpoint, so that later steps read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = fresh_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
