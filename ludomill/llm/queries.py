@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludomill.llm import chat, mixing, packing, token_counts
+from ludomill.llm import chat, fingerprints, langid, mixing, packing, pii, quality, token_counts
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,25 +18,62 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.limit_table(token_counts.length_histogram(_documents(spark, folder)))
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.against_edited(_documents(spark, folder).select("doc_id", "text"))
+
+
 def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(_documents(spark, folder).select("doc_id", "text", "lang"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(_documents(spark, folder), with_text=False)
     return packed.select("doc_id", "piece", "n_words", "bucket", "batch", "slot")
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_documents(spark, folder).select("doc_id", "text")).drop("text")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("plain_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(joined("plain_spans"), 256).alias("base_sha256"),
+        joined("all_spans").alias("spans"),
+    )
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, folder).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).withColumn("held_out", langid.held_out())
+    filters = langid.learn(docs.filter(~F.col("held_out")).select("text", "lang"))
+    predicted = langid.predict(docs.select("doc_id", "held_out", "text"), filters)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_fingerprints": op2_fingerprints,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 LLM_ORACLES: dict[str, str] = {
