@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludomill.llm import chat, fingerprints, langid, mixing, packing, pii, quality, token_counts
+from ludomill.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, token_counts
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "n_words", "bucket", "batch", "slot")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(_documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(_documents(spark, folder).select("doc_id", "text")).drop("text")
 
@@ -71,6 +75,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
@@ -94,6 +99,22 @@ select conv_id, dense_rank() over (partition by conv_id order by turn // 256) -
   min(place) as first_turn, count(*) as n_turns, any_value(copies) as copies,
   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by place) as rendered
 from turns join kept using (conv_id) group by conv_id, turn // 256
+""",
+    "op6_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as l from documents
+), g as (
+  select doc_id, case when len(l) = 0 or l is null then []::varchar[] when len(l) < 3 then [array_to_string(l, ' ')]
+    else list_distinct([l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] for i in range(1, len(l) - 1)]) end as s from w
+), t as (select doc_id, len(s) as n, unnest(s) as token from g
+), p as (
+  select x.doc_id as a, y.doc_id as b, any_value(x.n) + any_value(y.n) - count(*) as joined, count(*) as shared
+  from t x join t y on x.token = y.token and x.doc_id < y.doc_id group by 1, 2
+), e as (
+  select a, b from p where 100 * shared >= 90 * joined union all select b, a from p where 100 * shared >= 90 * joined
+), r as (select doc_id, doc_id as root from documents union select e.b, r.root from r join e on r.doc_id = e.a)
+select doc_id, len(s)::bigint as n_shingles, (select min(root) from r where r.doc_id = g.doc_id) as component_id from g
 """,
     "op8_mixing": r"""
 with d as (
