@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludomill.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, token_counts
+from ludomill.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, substrings, token_counts
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.dedup(_documents(spark, folder).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).withColumn("held_out", langid.held_out())
     filters = langid.learn(docs.filter(~F.col("held_out")).select("text", "lang"))
@@ -78,6 +83,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -141,5 +147,24 @@ with d as (
 select doc_id, size, source_size, target,
   (floor(i * c + u) - floor((i - 1) * c + u))::bigint * size as taken
 from p
+""",
+    "op9_substring_dedup": r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) as l from documents
+), w as (
+  select doc_id, unnest(range(1, len(l) - 33)) as i, l from d
+), h as (
+  select doc_id, i, md5(array_to_string(l[i:i + 34], ' ')) as m from w
+), r as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by m) as c from h) where c > 1
+), p as (
+  select distinct doc_id, unnest(range(i, i + 35)) as i from r
+), x as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as word from d), k as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by i) as kept
+  from x where not exists (select 1 from p where p.doc_id = x.doc_id and p.i = x.i) group by doc_id
+)
+select doc_id, len(l)::bigint as n_words, (len(l) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
 """,
 }
