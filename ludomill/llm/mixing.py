@@ -63,14 +63,8 @@ def source_targets(
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """``docs`` with size, source_size, target and copies (how often the mix takes the row)."""
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+    """``docs`` with _mix_size, _mix_total, _mix_target and _mix_copies."""
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = (
         docs.withColumn("_mix_key", F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("n")))
@@ -89,23 +83,41 @@ def mix(
     offsets = (
         cells.withColumn("_mix_before", F.coalesce(F.sum("_mix_n").over(within), F.lit(0)))
         .join(by_size, ["_mix_key", "_mix_size"])
-        .select(*_CELL, "source_size", "target", (F.col("_mix_before") + F.col("_mix_smaller")).alias("_mix_before"))
+        .select(
+            *_CELL,
+            F.col("source_size").alias("_mix_total"),
+            F.col("target").alias("_mix_target"),
+            (F.col("_mix_before") + F.col("_mix_smaller")).alias("_mix_before"),
+        )
     )
     place = F.row_number().over(Window.partitionBy(*_CELL).orderBy("_mix_name", "doc_id"))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_mix_key")).cast("binary")), 1, 8), 16, 10)
     start = unit.cast("double") / F.lit(4294967296.0)
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    each = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0))
     to = F.col("_mix_before") + F.col("_mix_place")
     return (
         rows.withColumn("_mix_place", place)
         .join(offsets, _CELL)
-        .withColumn("copies", F.floor(to * each + start) - F.floor((to - 1) * each + start))
-        .withColumn("size", F.col("_mix_size"))
-        .select(*docs.columns, "size", "source_size", "target", "copies")
+        .withColumn("_mix_copies", F.floor(to * each + start) - F.floor((to - 1) * each + start))
     )
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix"
+) -> DataFrame:
+    """``docs`` with size, source_size, target and copies (how often the mix takes the row).
+
+    Columns of these names are replaced.
+    """
+    added = {"size": "_mix_size", "source_size": "_mix_total", "target": "_mix_target", "copies": "_mix_copies"}
+    columns = [c for c in docs.columns if c not in added]
+    return _mixed(docs, weights, share, most, seed).select(*columns, *[F.col(c).alias(n) for n, c in added.items()])
+
+
+def take(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix"
+) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken."""
-    mixed = mix(docs, **options).filter("copies > 0")
-    return mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = _mixed(docs, weights, share, most, seed).filter("_mix_copies > 0")
+    mixed = mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    return mixed.select(*docs.columns)

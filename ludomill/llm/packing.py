@@ -82,7 +82,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents with bucket, batch and slot; ``with_text`` cuts long texts to their piece.
 
-    Columns: those of ``docs``, then piece, n_words, bucket (its boundary), batch (numbered within the bucket) and slot.
+    Columns: those of ``docs``, then piece, n_words, bucket (its boundary), batch (numbered within the bucket) and slot, which
+    replace columns of these names.
     """
     sized = docs.withColumn("_pack_words", n_words(F.col("text")))
     pieces = (
@@ -119,8 +120,9 @@ def pack(
             F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.col("_pack_piece") * limit + 1, F.lit(limit)), " "
         )
         out = out.withColumn("text", F.when(F.col("_pack_words") > limit, cut).otherwise(F.col("text")))
+    added = ("piece", "n_words", "bucket", "batch", "slot")
     return out.select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in added],
         F.col("_pack_piece").cast("long").alias("piece"),
         F.col("_pack_length").cast("long").alias("n_words"),
         F.col("_pack_bucket").cast("long").alias("bucket"),

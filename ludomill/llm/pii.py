@@ -227,16 +227,19 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 _SPANS_TYPE = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 
-def find(docs: DataFrame, redacted: bool = False) -> DataFrame:
-    """``docs`` with plain_spans and all_spans, in code points; ``redacted`` also rewrites text (and n_chars)."""
-    names = ["plain_spans", "all_spans"]
+def find(docs: DataFrame, redacted: bool = False, spans: bool = True) -> DataFrame:
+    """``docs`` with plain_spans and all_spans, in code points; columns of these names are replaced.
+
+    ``redacted`` rewrites text (and n_chars); without ``spans`` no column is added.
+    """
+    names = ["plain_spans", "all_spans"] if spans else []
     columns = [c for c in docs.columns if c not in names]
     schema = T.StructType(
         [docs.schema[c] for c in columns] + [T.StructField(n, T._parse_datatype_string(_SPANS_TYPE)) for n in names]
     )
 
-    def rows(spans: list[Span]) -> list[dict]:
-        return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+    def rows(found: list[Span]) -> list[dict]:
+        return [{"kind": k, "start": a, "end": b} for k, a, b in found]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +254,7 @@ def find(docs: DataFrame, redacted: bool = False) -> DataFrame:
                     old = arrays["n_chars"].to_pylist()
                     counts = [n if t is None or t is u else len(t) for t, u, n in zip(new, texts, old)]
                     arrays["n_chars"] = pa.array(counts, kind)
-            every = [pa.array([rows(f[i]) for f in found], _SPANS) for i in range(2)]
+            every = [pa.array([rows(f[i]) for f in found], _SPANS) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*arrays.values(), *every], names=[*columns, *names])
 
     return docs.mapInArrow(apply, schema)

@@ -148,8 +148,12 @@ def judge(
     max_word_distance: float = MAX_WORD_DISTANCE,
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
+    prefix: str = "",
 ) -> DataFrame:
-    """``docs`` with the base counts, base_failed, char_distance, word_distance and kept."""
+    """``docs`` with the base counts, base_failed, char_distance, word_distance and kept.
+
+    ``prefix`` goes before these names; columns that have them are replaced.
+    """
     if references is None:
         references = language_references(docs, common)
     kinds = Histograms(common)
@@ -159,6 +163,7 @@ def judge(
     added = [(c, "long") for c in COUNTS] + [
         ("base_failed", "boolean"), ("char_distance", "double"), ("word_distance", "double"), ("kept", "boolean"),
     ]
+    added = [(prefix + name, kind) for name, kind in added]
     names = [name for name, _ in added]
     columns = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in added])

@@ -313,13 +313,15 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.struct((first + F.col("begin")).alias("begin"), (first + F.col("end")).alias("end")).alias("span"),
     )
     per_text = placed.groupBy("_sub_key", "_sub_uid").agg(F.collect_set("span").alias("removed"))
-    return keyed.join(per_text, ["_sub_key", "_sub_uid"], "left").select(*docs.columns, "removed")
+    return keyed.join(per_text, ["_sub_key", "_sub_uid"], "left").select(
+        *[c for c in docs.columns if c != "removed"], "removed"
+    )
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the words left, joined by one space."""
     found = removed_spans(docs, window)
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "removed")]
     schema = T.StructType(
         [docs.schema[c] for c in columns]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
