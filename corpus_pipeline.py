@@ -17,7 +17,7 @@ from ludomill.session import settle
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are close to a language reference."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.judge(docs, prefix="_rule_").filter("_rule_kept").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data, plain or disguised, replaced by its kind; n_chars follows."""
-    return pii.find(docs, redacted=True).select(*docs.columns)
+    return pii.find(docs, redacted=True, spans=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
