@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 REVIEWS = """reviews as (select event_id as review_id, user_id,
   cast(json_extract_string(props, '$.k') as bigint) as game_id,
   least(value / 10.0, 10.0) as rating, ts, event_type from events)"""
-ORDERED = """ordered as (select l_orderkey * 8 + l_linenumber as review_id, o_custkey as user_id, l_partkey as game_id,
+ORDERED = """ordered as (select ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as review_id, o_custkey as user_id, l_partkey as game_id,
   l_quantity / 5.0 as rating, l_shipdate as ts from lineitem join orders on l_orderkey = o_orderkey)"""
 GAMES = """games as (select p_partkey as game_id, p_name as title, string_split(p_name, ' ') as genres,
   p_type as platform, p_brand as developer, cast(p_size as double) as hours,
@@ -60,9 +60,9 @@ add("profile_pages", f"""with {REVIEWS} select 'user' || user_id as author, rati
 add("page_completeness", f"""with {REVIEWS} select 'user' || user_id as author, count(*) as total_results,
   count(*) filter (where event_type <> 'view') as landed from reviews group by user_id
   having count(*) filter (where event_type = 'view') > 0""")
-add("active_users", f"with {REVIEWS} select user_id, count(*) as total_results from reviews group by 1 having count(*) >= 60")
-add("active_user_reviews", f"""with {REVIEWS} select review_id, user_id, game_id from reviews
-  where user_id in (select user_id from reviews group by 1 having count(*) >= 60)""")
+add("active_users", f"with {ORDERED} select user_id, count(*) as total_results from ordered group by 1 having count(*) >= 3")
+add("active_user_reviews", f"""with {ORDERED} select review_id, user_id, game_id from ordered
+  where user_id in (select user_id from ordered group by 1 having count(*) >= 3)""")
 add("first_seen_author", f"""with {REVIEWS} select user_id, review_id, game_id, event_type from reviews
   qualify row_number() over (partition by user_id order by review_id) = 1""")
 add("rating_mean", f"with {REVIEWS} select user_id, game_id, round(avg(rating), 9) as rating from reviews group by all")
@@ -201,34 +201,45 @@ add("xml_game_records", record("p_brand as themes", **_XML))
 add("xml_game_scan", f"""select p_partkey as id, {Q} as name, (p_size + 1990) || '-03-01' as release,
   case when p_type <> 'SMALL' then 'deck' end as description, {W1} || '|' || {W2} as genres, p_brand as themes from part""")
 
-CATALOGUE = """catalogue as (select p_partkey as entry_id, case when p_size <= 10 then p_name
-    when p_size <= 20 then array_to_string([upper(left(w, 1)) || substr(w, 2) for w in string_split(p_name, ' ')], ' ')
-    when p_size <= 30 then translate(p_name, 'io', '10') else 'the ' || p_name end as name,
+# Block keys of a text: pairs of different words, and single words if there are at most two.
+def blocks(name: str, source: str, text: str, *rest: str) -> str:
+    kept = ", ".join([text, *rest])
+    words = f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')))"
+    return f"""{name} as (select distinct {kept}, unnest(case when len(w) <= 2 then w || p else p end) as key from (
+    select *, flatten([[w[i] || ' ' || w[j] for j in range(i + 1, len(w) + 1)] for i in range(1, len(w) + 1)]) as p
+    from (select distinct {kept}, {words} as w from {source})))"""
+
+
+CATALOGUE = f"""catalogue as (select p_partkey as entry_id, case when p_size <= 10 then {Q}
+    when p_size <= 20 then array_to_string([upper(left(w, 1)) || substr(w, 2) for w in string_split({Q}, ' ')], ' ')
+    when p_size <= 30 then translate({Q}, 'io', '10') else 'the ' || {Q} end as name,
     (p_size + 1980) || '-05-05' as release, p_size + 1980 as year from part),
   entries as (select name, release, year, min(entry_id) as entry_id from catalogue group by all),
-  titles as (select p_name as game_name, min(p_size) + 1980 as year from part group by 1),
-  names as (select distinct name from catalogue),
-  scored as (select game_name, t.year as title_year, name, {score} as percent from titles t, names),
+  titles as (select {Q} as game_name, p_size + 1980 as title_year from part),
+  {blocks("tb", "titles", "game_name", "title_year")}, {blocks("nb", "catalogue", "name")},
+  met as (select distinct game_name, title_year, name from tb join nb using (key)),
+  scored as (select *, {percent('game_name', 'name')} as percent from met),
   matched as (select game_name, entry_id, name, release, percent from scored join entries using (name)
-    where percent > 90 or (percent > 65 and abs(year - title_year) <= 1))""".replace("{score}", percent("game_name", "name"))
+    where percent > 90 or (percent > 65 and abs(year - title_year) <= 1))"""
 add("catalogue_matches", f"with {CATALOGUE} select game_name, entry_id, name, release, percent from matched")
 add("catalogue_best_match", f"""with {CATALOGUE} select game_name, entry_id, name, release, percent from matched
   qualify row_number() over (partition by game_name order by percent desc, entry_id) = 1""")
 add("anchor_catalogue_match", f"""with {CATALOGUE} select game_name, entry_id, name, release, percent
   from scored join entries using (name) where percent > 65
   qualify row_number() over (partition by game_name order by percent desc, entry_id) = 1""")
-add("tiered_match", f"""with l as (select distinct p_size + 1980 as year, array_to_string(list_sort(string_split(p_name, ' ')), ' ') as left_text,
-    lower(p_type) as left_developer from part),
+add("tiered_match", f"""with l as (select distinct p_size + 1980 as year,
+    array_to_string(list_sort(string_split({Q}, ' ')), ' ') as left_text, lower(p_type) as left_developer from part),
   r as (select distinct p_size + 1980 as year, array_to_string(list_sort(list_filter(
-    [{W2}, {W1}, case when p_size > 25 then '' else '2' end], lambda w: w <> '')), ' ') as right_text,
+    [{W2}, {W1}, cast(p_partkey as varchar), case when p_size > 25 then '' else '2' end], lambda w: w <> '')), ' ') as right_text,
     lower(p_type) as right_developer from part),
-  texts as (select distinct left_text, right_text from l join r using (year)),
-  devs as (select distinct l.left_developer, r.right_developer from l join r using (year)),
+  {blocks("lb", "l", "left_text", "year")}, {blocks("rb", "r", "right_text", "year")},
+  texts as (select distinct year, left_text, right_text from lb join rb using (year, key)),
   ts as (select *, {percent('left_text', 'right_text')} as percent from texts),
+  devs as (select distinct l.left_developer, r.right_developer from (select distinct left_developer from l) l, (select distinct right_developer from r) r),
   ds as (select *, {percent('left_developer', 'right_developer')} as developer_percent from devs)
   select year, left_text, right_text, percent, left_developer, right_developer, developer_percent,
   case when percent > 90 then 'title' else 'developer' end as tier
-  from l join r using (year) join ts using (left_text, right_text) join ds using (left_developer, right_developer)
+  from l join r using (year) join ts using (year, left_text, right_text) join ds using (left_developer, right_developer)
   where percent > 90 or (percent >= 70 and developer_percent > 90)""")
 
 # --- features --------------------------------------------------------------
@@ -239,7 +250,7 @@ add("genre_multihot", f"""with {GAMES}, {VOCAB.format('games')} select game_id,
   case when list_contains(genres, v.dim) then 1.0::double else 0.0::double end as value from games, vocab v""")
 add("genre_multihot_rows", f"with {GAMES} select distinct game_id, unnest(genres) as label from games")
 add("platform_onehot", f"""with {GAMES}, top as (select platform, row_number() over (order by count(*) desc, platform) - 1 as place
-  from games group by 1 qualify place < 3) select game_id, cast(place as int) as dim,
+  from games group by 1 qualify place < 10) select game_id, cast(place as int) as dim,
   case when games.platform = top.platform then 1.0::double else 0.0::double end as value from games, top""")
 add("playtime_tanh", f"with {GAMES} select game_id, round(tanh(hours / 50), 9) as main from games")
 add("minmax_scaled", f"""with {GAMES}, b as (select min(critic) as c0, max(critic) as c1, min(release_year) as y0,
@@ -301,7 +312,7 @@ add("mdp_untimed", f"""with {REVIEWS}, {GAMES}, {KNOWN}, t as (select *, case wh
   select user_id, cast(row_number() over (partition by user_id order by review_id) as int) as step, review_id, terminal
   from t join known using (game_id)""")
 add("mdp_shape", f"""with {ORDERED}, {GAMES}, {KNOWN}, t as (select *, row_number() over (partition by user_id
-    order by ts desc, review_id desc, game_id desc) as back from ordered)
+    order by ts desc, review_id desc) as back from ordered)
   select count(*) as transitions, count(distinct user_id) as users, cast(sum(case when back = 1 then 1 else 0 end) as bigint) as terminals,
   cast((select count(*) from (select distinct unnest(genres) from known)) as int) as observation_width,
   cast((select count(*) from (select distinct unnest(genres) from known)) as int) as action_width

@@ -119,12 +119,12 @@ def _profile_pages(spark: SparkSession, folder: str, drop_type: str | None = Non
 
 @query
 def active_users(spark, folder):
-    return C.active_authors(T.event_reviews(spark, folder), 60, "user_id")
+    return C.active_authors(T.order_reviews(spark, folder), 3, "user_id")
 
 
 @query
 def active_user_reviews(spark, folder):
-    return C.keep_active(T.event_reviews(spark, folder), 60, "user_id").select("review_id", "user_id", "game_id")
+    return C.keep_active(T.order_reviews(spark, folder), 3, "user_id").select("review_id", "user_id", "game_id")
 
 
 @query
@@ -306,21 +306,20 @@ def _flat(hits: DataFrame, *extras: str) -> DataFrame:
 
 def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Part names as a second catalogue writes them, with a release day."""
-    spelled = F.when(F.col("p_size") <= 10, F.col("p_name"))
-    spelled = spelled.when(F.col("p_size") <= 20, F.initcap("p_name"))
-    spelled = spelled.when(F.col("p_size") <= 30, F.translate("p_name", "io", "10"))
-    spelled = spelled.otherwise(F.concat(F.lit("the "), F.col("p_name")))
+    spelled = F.when(F.col("p_size") <= 10, F.col("query_name"))
+    spelled = spelled.when(F.col("p_size") <= 20, F.initcap("query_name"))
+    spelled = spelled.when(F.col("p_size") <= 30, F.translate("query_name", "io", "10"))
+    spelled = spelled.otherwise(F.concat(F.lit("the "), F.col("query_name")))
     day = F.concat((F.col("p_size") + 1980).cast("string"), F.lit("-05-05"))
-    return T.table(spark, folder, "part").select(
+    return T.looked_up(spark, folder).select(
         F.col("p_partkey").alias("entry_id"), spelled.alias("name"), day.alias("release")
     )
 
 
 def _dated_titles(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct part names, each with the first year of a catalogue as anchor."""
-    parts = T.table(spark, folder, "part")
-    first = F.concat((F.min("p_size") + 1980).cast("string"), F.lit("-01-01"))
-    return parts.groupBy(F.col("p_name").alias("game_name")).agg(first.alias("anchor_release"))
+    """As many distinct titles as parts, each with the year of its catalogue entry as anchor."""
+    day = F.concat((F.col("p_size") + 1980).cast("string"), F.lit("-01-01"))
+    return T.looked_up(spark, folder).select(F.col("query_name").alias("game_name"), day.alias("anchor_release"))
 
 
 @query
@@ -340,11 +339,12 @@ def catalogue_best_match(spark, folder):
 
 @query
 def tiered_match(spark, folder):
-    parts = T.table(spark, folder, "part")
+    parts = T.looked_up(spark, folder)
     year = (F.col("p_size") + 1980).alias("release_year")
-    left = parts.select(F.col("p_name").alias("title"), F.col("p_type").alias("developer"), year)
-    name = F.split("p_name", " ")
-    title = F.concat(name[1], F.lit(", "), F.upper(name[0]), F.when(F.col("p_size") > 25, "").otherwise(" II"))
+    left = parts.select(F.col("query_name").alias("title"), F.col("p_type").alias("developer"), year)
+    name = F.split("query_name", " ")
+    end = F.when(F.col("p_size") > 25, "").otherwise(" II")
+    title = F.concat(name[1], F.lit(", "), F.upper(name[0]), F.lit(" "), name[2], end)
     right = parts.select(title.alias("title"), F.initcap("p_type").alias("developer"), year)
     return R.tiered_matches(left, right)
 
@@ -373,7 +373,7 @@ def genre_multihot_rows(spark, folder):
 @query
 def platform_onehot(spark, folder):
     games = T.games(spark, folder).withColumn("platforms", F.array("platform"))
-    names = Z.frequent_labels(games, "platforms", 3)
+    names = Z.frequent_labels(games, "platforms", Z.VECTOR_PARTS["platform"])
     encoded = games.select("game_id", S.one_hot("platform", names).alias("v"))
     return encoded.select("game_id", F.posexplode("v").alias("dim", "value"))
 

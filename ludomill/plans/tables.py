@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,7 +32,10 @@ def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     lines = table(spark, folder, "lineitem")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_id"),
+        # One number per line: order and line numbers alone repeat.
+        (
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+        ).alias("review_id"),
         "user_id",
         F.col("l_partkey").alias("game_id"),
         (F.col("l_quantity") / 5.0).alias("rating"),
