@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludomill.operators.ordered import in_chunks, totals_before, with_position
+from ludomill.operators.ordered import in_chunks, last_per_key, totals_before
 from ludomill.session import settle
 
 # Fixed values.
@@ -20,56 +18,104 @@ WORD_WIDTH = 128
 SEED = 42
 SENTENCE_WORDS = 1000
 
-# Room on the driver for the item factors and the solver's work space.
-DRIVER_BYTES = 2 << 30
+# Subspace iteration: further columns kept beside the wanted ones, and rounds.
+EXTRA = 8
+ROUNDS = 8
+# Words and games are hashed to so many places before training, which bounds what the trainer holds on the driver:
+# two arrays of places x width single-precision numbers.
+PLACES = 1 << 16
+# Parts trained side by side; fixed, for the vectors depend on it.
+PARTS = 8
 
 
-def item_factors(ratings: DataFrame, count: int = FACTORS, scaled: bool = False) -> tuple[DataFrame, list[float]]:
+def _sum_product(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """Sum of rating x vector per ``key``, one column a dimension so that partial sums meet before the shuffle."""
+    sums = [F.sum(F.col("rating") * F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(width)]
+    return rows.groupBy(key).agg(*sums).select(key, F.array(*[f"_s{i}" for i in range(width)]).alias("vector"))
+
+
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
+    """Sum of the outer products of ``vector`` with itself: width x width numbers, whatever the rows."""
+
+    def partial(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            part = np.stack(batch["vector"].to_numpy()) if len(batch) else np.zeros((0, width))
+            total += part.T @ part
+        yield pd.DataFrame({"cell": np.arange(width * width), "value": total.ravel()})
+
+    cells = rows.select("vector").mapInPandas(partial, "cell long, value double").groupBy("cell").agg(F.sum("value"))
+    out = np.zeros(width * width)
+    for cell, value in cells.collect():
+        out[cell] = value
+    return out.reshape(width, width)
+
+
+def _rotated(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """``vector`` times a small matrix."""
+    columns = [F.array(*[F.lit(float(x)) for x in column]) for column in matrix.T]
+
+    def dot(other: Column) -> Column:
+        return F.aggregate(F.zip_with("vector", other, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+
+    return rows.select(key, F.array(*[dot(c) for c in columns]).alias("vector"))
+
+
+def _root(gram: np.ndarray) -> np.ndarray:
+    """The matrix that makes vectors with this Gram matrix orthonormal; directions without length are left out."""
+    lengths, axes = np.linalg.eigh(gram)
+    kept = lengths > max(lengths.max(), 0.0) * 1e-12
+    return axes[:, kept] / np.sqrt(lengths[kept])
+
+
+def item_factors(
+    ratings: DataFrame, count: int = FACTORS, scaled: bool = False, rounds: int = ROUNDS
+) -> tuple[DataFrame, list[float]]:
     """Right singular vectors of the user x item matrix, one vector per item, and the singular values.
 
     ``ratings``: user_id, game_id, rating, one row per pair; absent pairs are
-    zeros.  Users are the distributed rows; only the catalogue x ``count``
-    factors come to the driver, and their size is checked first.  Each factor
-    is signed so that its largest entry is positive.
+    zeros.  Subspace iteration over the long table: a round is two joins with
+    sums and one orthonormalisation; the vectors stay a table and only matrices
+    of (count + EXTRA) squared numbers come to the driver.  The start is a hash
+    of the item, so runs agree.  Each factor is signed so that its largest entry
+    is positive.
     """
-    spark = ratings.sparkSession
-    known = ratings.na.drop("any", subset=["user_id", "game_id", "rating"])
-    places = settle(with_position(known.select("game_id").distinct(), [], ["game_id"], "place"))
-    items = places.count()
-    if 3 * 8 * items * count > DRIVER_BYTES:
-        raise ValueError(f"{items} items x {count} factors do not fit the driver")
-    count = min(count, items)
-
-    def row_vector(cells):
-        return Vectors.sparse(items, [c["place"] for c in cells], [c["rating"] for c in cells])
-
-    as_vector = F.udf(row_vector, VectorUDT(), useArrow=False)
-    cells = F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "rating")))
-    by_user = known.join(places, "game_id").groupBy("user_id").agg(cells.alias("cells"))
-    # The solver passes over the rows once per step: stored in as few parts as
-    # their size asks for, and kept in memory where there is room.
-    rows = settle(by_user.select(as_vector("cells").alias("row"))).persist(StorageLevel.MEMORY_AND_DISK)
-    svd = RowMatrix(rows, 0, items).computeSVD(count)
-    rows.unpersist()
-
-    factors = svd.V.toArray()
-    found = factors.shape[1]
-    values = svd.s.toArray()[:found]
-    factors = factors * np.sign(factors[np.abs(factors).argmax(axis=0), np.arange(found)])
-    if scaled:
-        factors = factors * values
-    table = spark.createDataFrame(
-        [(place, vector.tolist()) for place, vector in enumerate(factors)], "place long, vector array<double>"
-    )
-    return places.join(table, "place").select("game_id", "vector"), values.tolist()
+    known = settle(ratings.na.drop("any", subset=["user_id", "game_id", "rating"]).select(
+        "user_id", "game_id", F.col("rating").cast("double").alias("rating")))
+    width = count + EXTRA
+    start = [F.pmod(F.xxhash64("game_id", F.lit(i)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1 for i in range(width)]
+    items = settle(known.select("game_id").distinct().select("game_id", F.array(*start).alias("vector")))
+
+    def orthonormal(rows: DataFrame) -> tuple[DataFrame, int]:
+        turn = _root(_gram(rows, width))
+        return settle(_rotated(rows, "game_id", turn)), turn.shape[1]
+
+    def users(rows: DataFrame) -> DataFrame:
+        return settle(_sum_product(known.join(rows, "game_id"), "user_id", width))
+
+    items, width = orthonormal(items)
+    if not width:
+        return items, []
+    seen = users(items)
+    for _ in range(rounds):
+        items, width = orthonormal(settle(_sum_product(known.join(seen, "user_id"), "game_id", width)))
+        seen = users(items)
+    # The axes of what the matrix makes of the subspace are the singular vectors within it.
+    lengths, axes = np.linalg.eigh(_gram(seen, width))
+    best = np.argsort(-lengths)[: min(count, width)]
+    values = np.sqrt(np.maximum(lengths[best], 0.0))
+    factors = settle(_rotated(items, "game_id", axes[:, best]))
+    ends = [F.struct(F.min(F.get("vector", F.lit(i))), F.max(F.get("vector", F.lit(i)))) for i in range(len(best))]
+    signs = np.array([-1.0 if -low > high else 1.0 for low, high in factors.agg(*ends).first()])
+    return _rotated(factors, "game_id", np.diag(signs * (values if scaled else 1.0))), values.tolist()
 
 
 def attach_vectors(games: DataFrame, vectors: DataFrame, key: str, keep_missing: bool = False) -> DataFrame:
     """Games with their vector; games without one are dropped unless ``keep_missing``.
 
-    Several games may share a key and so a vector.
+    Several games may share a key and so a vector; of several vectors of a key the largest counts.
     """
-    return games.join(vectors, key, "left" if keep_missing else "inner")
+    return games.join(last_per_key(vectors, [key], ["vector"]), key, "left" if keep_missing else "inner")
 
 
 def words(text: Column | str) -> Column:
@@ -78,37 +124,34 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _word_model(
-    sentences: DataFrame, width: int, min_count: int, partitions: int | None, iterations: int
-) -> Word2VecModel:
-    """Train on ``words``; as many parts as run side by side, for each part trains by itself in between."""
-    spark = sentences.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _places(words: Column | str) -> Column:
+    """Words as texts of their hashed places."""
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("string"))
+
+
+def _word_model(sentences: DataFrame, width: int, iterations: int) -> Word2VecModel:
+    """Train on ``places``: every word counts, those that share a place share a vector."""
     return Word2Vec(
         vectorSize=width,
-        minCount=min_count,
-        numPartitions=partitions or min(shuffle, spark.sparkContext.defaultParallelism),
+        minCount=1,
+        numPartitions=PARTS,
         maxIter=iterations,
         seed=SEED,
         maxSentenceLength=SENTENCE_WORDS,
-        inputCol="words",
+        inputCol="places",
         outputCol="_mean",
     ).fit(sentences)
 
 
 def description_vectors(
-    texts: DataFrame,
-    key: str,
-    text: str,
-    width: int = WORD_WIDTH,
-    min_count: int = 5,
-    partitions: int | None = None,
-    iterations: int = 1,
+    texts: DataFrame, key: str, text: str, width: int = WORD_WIDTH, iterations: int = 1
 ) -> DataFrame:
-    """Mean word vector of each whole text; the word vectors are trained on the same texts."""
-    tokenised = texts.select(key, words(text).alias("words"))
-    model = _word_model(tokenised, width, min_count, partitions, iterations)
-    return model.transform(tokenised).select(key, vector_to_array("_mean").alias("vector"))
+    """``key, vector, n_words``: the mean word vector of each whole text, trained on the same texts."""
+    tokenised = texts.select(key, _places(F.coalesce(words(text), F.array().cast("array<string>"))).alias("places"))
+    model = _word_model(tokenised, width, iterations)
+    return model.transform(tokenised).select(
+        key, vector_to_array("_mean").alias("vector"), F.size("places").alias("n_words")
+    )
 
 
 def play_sentences(reviews: DataFrame) -> DataFrame:
@@ -126,15 +169,10 @@ def play_sentences(reviews: DataFrame) -> DataFrame:
     return grouped.select("user_id", "part", F.transform("games", lambda g: g["game"]).alias("words"))
 
 
-def title_vectors(
-    reviews: DataFrame,
-    width: int = WORD_WIDTH,
-    min_count: int = 5,
-    partitions: int | None = None,
-    iterations: int = 1,
-) -> DataFrame:
+def title_vectors(reviews: DataFrame, width: int = WORD_WIDTH, iterations: int = 1) -> DataFrame:
     """One vector per game from the company it keeps in play histories: ``game_id, vector``."""
-    model = _word_model(play_sentences(reviews), width, min_count, partitions, iterations)
-    return model.getVectors().select(
-        F.col("word").cast("long").alias("game_id"), vector_to_array("vector").alias("vector")
-    )
+    sentences = play_sentences(reviews).select(_places("words").alias("places"))
+    model = _word_model(sentences, width, iterations)
+    games = reviews.na.drop("any", subset=["user_id", "game_id"]).select("game_id").distinct()
+    placed = games.withColumn("word", _places(F.array(F.col("game_id").cast("string")))[0])
+    return placed.join(model.getVectors(), "word").select("game_id", vector_to_array("vector").alias("vector"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,6 @@ VECTOR_PARTS = {
 }
 
 
-class VocabularyTooLarge(ValueError):
-    """The labels do not fit a vector; use the long form instead."""
-
-
 def clean_labels(labels: Column | str) -> Column:
     """A bag of labels as a set without nulls and empty texts."""
     bag = F.col(labels) if isinstance(labels, str) else labels
@@ -38,16 +34,14 @@ def label_counts(df: DataFrame, labels: str) -> DataFrame:
     return df.select(F.explode(clean_labels(labels)).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def vocabulary(df: DataFrame, labels: str, limit: int = 4096) -> list[str]:
+def vocabulary(df: DataFrame, labels: str) -> list[str]:
     """All distinct labels in sorted order, for use as vector positions.
 
     A vector needs its width before the job starts, so the labels come to the
-    driver; more than ``limit`` of them is an error, never a silent cut.
+    driver: as many as the vector is wide, none left out.  ``multi_hot_rows`` is
+    the form for labels that make no vector.
     """
-    rows = label_counts(df, labels).select("label").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise VocabularyTooLarge(f"more than {limit} labels in {labels}")
-    return sorted(row.label for row in rows)
+    return sorted(row.label for row in label_counts(df, labels).select("label").collect())
 
 
 def frequent_labels(df: DataFrame, labels: str, count: int) -> list[str]:
@@ -98,10 +92,12 @@ def hours_vector(main: str = "main_story", extra: str = "main_extra", full: str
     return F.array(*[S.saturating_hours(F.coalesce(F.col(c), F.lit(0.0))) for c in (main, extra, full)])
 
 
-def _padded(vector: Column, width: int) -> Column:
+def _padded(vector: Column, width: int, name: str) -> Column:
+    """Zeros for a missing part and behind a short one; a longer one is an error."""
     zeros = F.array_repeat(F.lit(0.0), width)
-    filled = F.slice(F.concat(F.coalesce(vector.cast("array<double>"), zeros), zeros), 1, width)
-    return filled
+    known = F.coalesce(vector.cast("array<double>"), zeros)
+    wrong = F.raise_error(F.lit(f"part {name} is wider than {width}")).cast("array<double>")
+    return F.when(F.size(known) > width, wrong).otherwise(F.slice(F.concat(known, zeros), 1, width))
 
 
 def game_features(
@@ -135,7 +131,7 @@ def game_features(
         "users": F.array(F.coalesce("_unit_user_score", F.lit(0.0))),
         "collaborative": F.col("_item"),
     }
-    vector = F.concat(*[_padded(parts[name], width) for name, width in VECTOR_PARTS.items()])
+    vector = F.concat(*[_padded(parts[name], width, name) for name, width in VECTOR_PARTS.items()])
     return rows.select("game_id", vector.alias("vector"))
 
 
@@ -147,7 +143,3 @@ def part_range(name: str) -> tuple[int, int]:
             return start, width
         start += width
     raise KeyError(name)
-
-
-def vector_columns(vector: str, width: int) -> Sequence[Column]:
-    return [F.get(vector, F.lit(i)) for i in range(width)]

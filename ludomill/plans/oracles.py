@@ -260,6 +260,20 @@ add("rewards", f"""with {REVIEWS}, {GAMES}, {KNOWN} select review_id, round((rat
   cast(sign(rating - 5) as double) as ternary,
   round((rating - 5) / 5 + case when rating > 5 then 0.5 * tanh(rating * 10 / hours) else 0 end, 9) as with_bonus
   from reviews join known using (game_id)""")
+RATED = "rated as (select user_id, game_id, avg(rating) as rating from reviews group by all)"
+add("item_svd", f"""with {REVIEWS}, {RATED} select game_id, p_name as title, round(sum(rating * rating), 4) as squares
+  from rated join part on game_id = p_partkey group by all""")
+add("item_factor_shape", f"""with {REVIEWS} select count(distinct game_id) as games,
+  cast(least(count(distinct game_id), count(distinct user_id), 32) as int) as width,
+  cast(least(count(distinct game_id), count(distinct user_id), 32) as double) as squares,
+  true as falling from reviews""")
+add("embedding_table", f"""with {REVIEWS} select p_partkey as game_id, p_name as title,
+  cast((select least(count(distinct game_id), count(distinct user_id), 32) from reviews) as int) as width
+  from part where p_partkey in (select game_id from reviews)""")
+add("description_word2vec", r"""select doc_id, 128 as width, cast(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as int) as n_words,
+  cast(1 as bigint) as vectors, false as has_nan from documents""")
+add("title_item2vec", f"with {REVIEWS} select distinct game_id, 128 as width, false as has_nan from reviews")
+add("feature_vector", f"with {GAMES} select game_id, 324 as width, false as has_nan from games")
 add("play_sentences", f"""with {REVIEWS} select user_id, cast(0 as bigint) as part,
   string_agg(cast(game_id as varchar), '|' order by ts, review_id) as games from reviews group by 1""")
 add("feature_vector_fixed_parts", f"""with {REVIEWS}, {GAMES},

@@ -19,6 +19,7 @@ from ludomill.operators import reviews as C
 from ludomill.operators import transitions as M
 from ludomill.operators.ordered import dense_title_ids, with_position
 from ludomill.operators.static_tables import keep_columns
+from ludomill.plans import jobs
 from ludomill.plans import tables as T
 from ludomill.session import fresh_folder, settle
 from ludomill.sources import readers, sinks
@@ -188,13 +189,6 @@ def title_ratio(spark, folder):
     return parts.select("p_partkey", X.name_percent(F.col("query_name"), other).alias("percent"))
 
 
-@query
-def title_ratcliff(spark, folder):
-    parts = T.looked_up(spark, folder)
-    other = F.concat_ws(" ", "p_type", "p_brand", F.translate("p_name", "io", "10"))
-    return parts.select("p_partkey", rounded(X.block_similarity(F.col("query_name"), other), 6).alias("ratio"))
-
-
 @query
 def normalised_titles(spark, folder):
     """Supplier and part names with punctuation and sequel numerals."""
@@ -408,21 +402,53 @@ def rewards(spark, folder):
 
 @query
 def item_svd(spark, folder):
-    vectors, _ = E.item_factors(C.user_item_ratings(T.event_reviews(spark, folder)))
+    """With as many factors as games, a game's scaled entries hold all its ratings."""
+    ratings = C.user_item_ratings(T.event_reviews(spark, folder))
+    games = ratings.select("game_id").distinct().count()
+    vectors, _ = E.item_factors(ratings, games, scaled=True, rounds=1)
     named = E.attach_vectors(T.games(spark, folder).select("game_id", "title"), vectors, "game_id")
-    return named.select("game_id", "title", F.posexplode("vector").alias("dim", "value"))
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return named.select("game_id", "title", F.round(squares, 4).alias("squares"))
+
+
+@query
+def item_factor_shape(spark, folder):
+    """The default factors: orthonormal over the games, so that their squares add up to the width."""
+    vectors, values = E.item_factors(C.user_item_ratings(T.event_reviews(spark, folder)))
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    falling = all(a >= b for a, b in zip(values, values[1:]))
+    return vectors.agg(
+        F.count("*").alias("games"),
+        F.max(F.size("vector")).alias("width"),
+        F.round(F.sum(squares), 4).alias("squares"),
+        F.lit(falling).alias("falling"),
+    )
+
+
+@query
+def embedding_table(spark, folder):
+    """Games with their vector through the embedding job and back; games nobody rated are left out."""
+    path = fresh_folder(spark, "embeddings")
+    jobs.item_embeddings(T.event_reviews(spark, folder), T.games(spark, folder).select("game_id", "title"), path)
+    return spark.read.parquet(path).select("game_id", "title", F.size("vector").alias("width"))
 
 
 @query
 def description_word2vec(spark, folder):
-    vectors = E.description_vectors(T.table(spark, folder, "documents"), "doc_id", "text")
-    return vectors.select("doc_id", F.size("vector").alias("width"), F.array_max("vector").alias("largest"))
+    docs = T.table(spark, folder, "documents")
+    vectors = E.description_vectors(docs, "doc_id", "text")
+    rows = vectors.join(docs.select("doc_id", F.xxhash64("text").alias("body")), "doc_id")
+    # Equal texts have equal vectors.
+    kinds = rows.groupBy("body").agg(F.count_distinct("vector").alias("vectors"))
+    return rows.join(kinds, "body").select(
+        "doc_id", F.size("vector").alias("width"), "n_words", "vectors", F.exists("vector", F.isnan).alias("has_nan")
+    )
 
 
 @query
 def title_item2vec(spark, folder):
     vectors = E.title_vectors(T.event_reviews(spark, folder))
-    return vectors.select("game_id", F.size("vector").alias("width"))
+    return vectors.select("game_id", F.size("vector").alias("width"), F.exists("vector", F.isnan).alias("has_nan"))
 
 
 @query
@@ -436,7 +462,7 @@ def feature_vector(spark, folder):
     reviews = T.event_reviews(spark, folder)
     games = _feature_games(spark, folder)
     titles = E.title_vectors(reviews)
-    texts = E.description_vectors(games, "game_id", "description", min_count=1)
+    texts = E.description_vectors(games, "game_id", "description")
     factors, _ = E.item_factors(C.user_item_ratings(reviews))
     vectors = Z.game_features(games, titles, texts, factors, C.game_scores(reviews))
     return vectors.select("game_id", F.size("vector").alias("width"), F.exists("vector", F.isnan).alias("has_nan"))
