@@ -53,12 +53,13 @@ def _gram(rows: DataFrame, width: int) -> np.ndarray:
 
 def _rotated(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     """``vector`` times a small matrix."""
-    columns = [F.array(*[F.lit(float(x)) for x in column]) for column in matrix.T]
 
-    def dot(other: Column) -> Column:
-        return F.aggregate(F.zip_with("vector", other, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    def turn(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({key: batch[key], "vector": list(np.stack(batch["vector"].to_numpy()) @ matrix)})
 
-    return rows.select(key, F.array(*[dot(c) for c in columns]).alias("vector"))
+    return rows.select(key, "vector").mapInPandas(turn, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def _root(gram: np.ndarray) -> np.ndarray:

@@ -166,8 +166,10 @@ def hltb_hits(searches: DataFrame, count: int = 1) -> DataFrame:
 
 
 def xml_game_hits(searches: DataFrame, count: int = 1) -> DataFrame:
-    games = F.from_xml("payload", schemas.XML_GAME_RESPONSE)["results"]["game"]
-    rows = searches.select("query_name", F.posexplode(F.slice(games, 1, count)).alias("pos", "g"))
+    """First ``count`` games of each answer, at any depth."""
+    texts = F.regexp_extract_all("payload", F.lit(r"(?s)(<game(?:\s[^>]*)?>.*?</game>)"))
+    rows = searches.select("query_name", F.posexplode(F.slice(texts, 1, count)).alias("pos", "text"))
+    rows = rows.select("query_name", "pos", F.from_xml("text", schemas.XML_GAME).alias("g"))
     return rows.select("query_name", "pos", xml_game_record(F.col("g")).alias("game"))
 
 

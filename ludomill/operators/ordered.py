@@ -12,8 +12,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +23,6 @@ BEFORE = "_before_"
 CHUNK_TOTAL = "_total_"
 IN_CHUNK = "_in_chunk_"
 
-# Chunk offsets up to this size are sent to every task.
-BROADCAST_BYTES = 64 << 20
-
 
 def in_chunks(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Number the even, contiguous stretches of the order over all rows.
@@ -148,18 +143,13 @@ def vector_before(
     chunk streams through numpy, a batch at a time.  Also adds ``LAST``.
     """
     group = [*keys, CHUNK]
-    valued = chunked.withColumn("_values", vector.cast("array<double>"))
-    inside = _scanned(valued, group, order, width, "_inside").withColumnRenamed("_end", LAST)
-
-    cut = valued.join(_crossing(chunked, keys), list(keys), "left_semi")
-    per_chunk = cut.groupBy(*group).agg(vector_to_array(Summarizer.sum(array_to_vector("_values"))).alias("_values"))
+    valued = chunked.withColumn("_values", vector.cast("array<double>")).withColumn("_own", F.col("_values"))
+    # Settled, so that what is joined to the rows is joined once: the last row of a chunk also holds the chunk's total.
+    inside = settle(_scanned(valued, group, order, width, "_inside").withColumnRenamed("_end", LAST))
+    totals = inside.filter(LAST).join(_crossing(chunked, keys), list(keys), "left_semi")
+    per_chunk = totals.select(*group, F.zip_with("_inside", "_own", lambda x, y: x + y).alias("_values"))
     offsets = _scanned(per_chunk, keys, [CHUNK], width, "_before").withColumnRenamed("_end", "_last_chunk")
-
-    # A chunk borders on two others, so the offsets have at most two rows per chunk.
-    chunks = int(chunked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if 2 * chunks * width * 8 <= BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
-    joined = inside.join(offsets, group, "left")
+    joined = inside.drop("_own").join(offsets, group, "left")
     summed = F.zip_with("_inside", "_before", lambda x, y: x + y)
     last = F.col(LAST) & F.coalesce("_last_chunk", F.lit(True))
     result = joined.withColumns({name: F.coalesce(summed, "_inside"), LAST: last})

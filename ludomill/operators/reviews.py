@@ -83,11 +83,12 @@ def profile_reviews(pages: DataFrame, authors: DataFrame, at_least: int = 3) ->
 
 
 def page_gaps(pages: DataFrame) -> DataFrame:
-    """Profiles whose landed pages do not add up to their stated total."""
+    """Profiles whose landed pages do not hold as many different items as they state."""
     data = F.from_json("payload", schemas.PROFILE_PAGE)["data"]
-    sized = pages.select("author", "page", data["totalResults"].alias("total"), F.size(data["items"]).alias("items"))
-    latest = sized.groupBy("author", "page").agg(F.max("total").alias("total"), F.max("items").alias("items"))
-    summed = latest.groupBy("author").agg(F.max("total").alias("total_results"), F.sum("items").alias("landed"))
+    rows = pages.select("author", data["totalResults"].alias("total"), F.explode_outer(data["items"]).alias("item"))
+    summed = rows.groupBy("author").agg(
+        F.max("total").alias("total_results"), F.count_distinct(F.to_json("item")).alias("landed")
+    )
     return summed.filter("landed <> total_results")
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludomill.functions import scalars as S
-from ludomill.operators.ordered import LAST, in_chunks, last_per_key, totals_before, vector_before
+from ludomill.operators.ordered import LAST, in_chunks, last_per_key, vector_before
 from ludomill.operators.reviews import one_review_per_pair
 
-# Up to this width the running sums are window columns, above it numpy scans.
-WINDOW_WIDTH = 64
-
 
 def transitions(
     reviews: DataFrame,
@@ -20,6 +19,7 @@ def transitions(
     terminal: str = "reference",
     repeats: str = "all",
     ordered_by_time: bool = True,
+    games_order: Sequence[str] = ("vector",),
 ) -> DataFrame:
     """One row per review of a known game, in user and time order.
 
@@ -31,10 +31,12 @@ def transitions(
     games are left out, so a user who ends on an unknown game has no terminal
     row; ``"last_kept"`` marks the last row that is left.  ``repeats`` says what
     to do with several reviews of one game: keep ``all``, or join by ``max`` or
-    ``mean``.  Without time order the review id orders a history.
+    ``mean``.  Without time order the review id orders a history.  Of several rows
+    of a game the last by ``games_order`` counts.
     """
     if terminal not in ("reference", "last_kept"):
         raise ValueError(f"unknown terminal mode {terminal!r}")
+    games = unique_vectors(games, games_order)
     order = ["ts", "review_id"] if ordered_by_time else ["review_id"]
     narrow = reviews.select("review_id", "user_id", "game_id", "rating", *order[:-1]).filter("user_id is not null")
     history = one_review_per_pair(narrow, repeats, order)
@@ -44,21 +46,14 @@ def transitions(
     # Narrow rows are cut into chunks; the wide vectors are joined on after.
     chunked = in_chunks(history, ["user_id", *order])
     known = chunked.join(games.select("game_id", "vector"), "game_id", "left")
-    if width > WINDOW_WIDTH:
-        blank = F.array_repeat(F.lit(0.0), width)
-        counted = F.concat(
-            F.coalesce(F.col("vector").cast("array<double>"), blank),
-            F.array(F.col("vector").isNotNull().cast("double")),
-        )
-        scanned = vector_before(known, ["user_id"], order, counted, width + 1, "_sums")
-        seen = F.element_at("_sums", -1)
-        means = F.transform(F.slice("_sums", 1, width), lambda x: F.coalesce(F.try_divide(x, seen), F.lit(0.0)))
-    else:
-        sums = {f"_sum{i}": F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)) for i in range(width)}
-        counts = {"_seen": F.col("vector").isNotNull().cast("long")}
-        scanned = totals_before(known, ["user_id"], order, {**counts, **sums})
-        seen = F.col("_seen")
-        means = F.array(*[F.coalesce(F.try_divide(F.col(n), seen), F.lit(0.0)) for n in sums])
+    blank = F.array_repeat(F.lit(0.0), width)
+    counted = F.concat(
+        F.coalesce(F.col("vector").cast("array<double>"), blank),
+        F.array(F.col("vector").isNotNull().cast("double")),
+    )
+    scanned = vector_before(known, ["user_id"], order, counted, width + 1, "_sums")
+    seen = F.element_at("_sums", -1)
+    means = F.transform(F.slice("_sums", 1, width), lambda x: F.coalesce(F.try_divide(x, seen), F.lit(0.0)))
     return scanned.filter("vector is not null").select(
         "user_id",
         (seen + 1).cast("int").alias("step"),
@@ -70,9 +65,9 @@ def transitions(
     )
 
 
-def unique_vectors(games: DataFrame, order: list[str]) -> DataFrame:
+def unique_vectors(games: DataFrame, order: Sequence[str]) -> DataFrame:
     """One vector per game: of repeated ids the last by ``order`` counts, as in an overwriting lookup."""
-    return last_per_key(games, ["game_id"], order).select("game_id", "vector")
+    return last_per_key(games, ["game_id"], list(order)).select("game_id", "vector")
 
 
 def dataset_shape(rows: DataFrame) -> DataFrame:

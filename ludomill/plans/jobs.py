@@ -51,10 +51,8 @@ def game_master(reviews: DataFrame, landed: DataFrame, out: str) -> None:
 
 
 def more_games(reviews: DataFrame, landed: DataFrame, saved: DataFrame, out: str) -> None:
-    """Records for the titles that have none yet, appended; ids are those of the whole title list."""
-    todo = R.pending_titles(reviews, saved.select(F.col("game_name").alias("query_name")))
-    table = R.game_table(reviews, landed_sources(landed))
-    sinks.write_table(table.join(todo, "game_name", "left_semi"), out, append=True)
+    """Records for the titles that have none yet, appended; saved ids stay and new ones go on from the largest."""
+    sinks.write_table(R.game_table(reviews, landed_sources(landed), saved), out, append=True)
 
 
 def item_embeddings(reviews: DataFrame, games: DataFrame, out: str) -> None:
@@ -98,6 +96,6 @@ def recommendations(reviews: DataFrame, games: DataFrame, width: int, count: int
     """
     liked = reviews.filter(S.ternary_reward("rating") > 0).join(games, "game_id")
     states = V.mean_vector(liked, ["user_id"], "vector", width)
-    played = reviews.groupBy("user_id").agg(F.collect_set("game_id").alias("exclude"))
-    queries = states.join(played, "user_id").select(F.col("user_id").alias("query_id"), "vector", "exclude")
-    return V.best_items(queries, games.withColumnRenamed("game_id", "item_id"), count)
+    played = reviews.select(F.col("user_id").alias("query_id"), F.col("game_id").alias("item_id"))
+    queries = states.withColumnRenamed("user_id", "query_id")
+    return V.best_items(queries, games.withColumnRenamed("game_id", "item_id"), count, excluded=played)

@@ -79,6 +79,9 @@ TITLES = "titles as (select distinct p_name || ' ' || p_brand as game_name from
 add("title_ids", f"with {TITLES} select row_number() over (order by game_name) - 1 as id, game_name from titles")
 add("titles_from_offset", f"""with {TITLES}, n as (select row_number() over (order by game_name) - 1 as id, game_name
   from titles) select id, game_name from n where id >= 100""")
+add("more_titles", f"""with {TITLES}, s as (select row_number() over (order by game_name) - 1 as id, game_name from titles
+  where game_name >= 'h'), n as (select (select count(*) from s) + row_number() over (order by game_name) - 1 as id, game_name
+  from titles where game_name < 'h') select * from s union all select * from n""")
 add("resume_pending", f"""with {TITLES} select game_name from titles where game_name not in
   (select p_name || ' ' || p_brand from part where p_type = 'ECONOMY')""")
 add("title_ratio", f"""with p as (select p_partkey, p_name || ' ' || p_partkey as a,
@@ -308,6 +311,8 @@ add("mdp_transitions", f"""with {STEPS}, {VOCAB.format('known')},
   coalesce(round(cast(sum(act) over w as double) / (step - 1), 5), 0.0) as obs, cast(act as double) as action,
   round((rating - 5) / 5, 5) as reward, terminal
   from x window w as (partition by user_id, dim order by step rows between unbounded preceding and 1 preceding)""")
+add("mdp_repeated_games", f"""with {STEPS} select user_id, cast(step as int) as step, review_id,
+  cast(len(list_distinct(genres)) as int) as genres, terminal from k""")
 add("mdp_wide", f"""with {REVIEWS}, {GAMES}, {KNOWN},
   t as (select *, case when row_number() over (partition by user_id order by ts desc, review_id desc) = 1 then 1 else 0 end
     as terminal from reviews),
@@ -340,6 +345,8 @@ LOGGED = f"""{ORDERED}, {GAMES}, {KNOWN}, logged as (select ordered.*, hours, cr
   from ordered join known using (game_id))"""
 add("reward_model", f"""with {LOGGED} select round(regr_slope(reward, hours), 6) as slope,
   round(regr_intercept(reward, hours), 6) as intercept from logged""")
+add("reward_model_states", f"""with {STEPS} select round(avg((rating - 5) / 5), 4) as direct_value,
+  true as least_squares from k""")
 POLICY = "policy as (select game_id, critic / (select sum(critic) from known) as probability from known)"
 OUTCOMES = "outcomes as (select game_id, count(*) as n, sum(reward) as r, avg(reward) as m from logged group by 1)"
 add("ips_value", f"""with {LOGGED}, {POLICY}, {OUTCOMES}, w as (select n, r, coalesce(probability, 0) /
@@ -391,6 +398,6 @@ add("latest_payloads", """select cast(l_partkey as varchar) as query_name,
 # --- incremental -----------------------------------------------------------
 
 add("stream_dedupe", "select event_id, user_id, event_type, value from events")
-add("stream_append", "select user_id, count(*) as n, round(sum(value), 4) as total from events where value > 1 group by 1")
+add("stream_append", "select user_id, count(*) as n, round(sum(value), 4) as total from events group by 1")
 add("feedback_upsert", """select user_id, cast(json_extract_string(props, '$.k') as bigint) as game_id, event_id, value from events
   qualify row_number() over (partition by user_id, json_extract_string(props, '$.k') order by event_id desc) = 1""")

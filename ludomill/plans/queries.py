@@ -94,7 +94,8 @@ def profile_pages(spark, folder):
 def page_completeness(spark, folder):
     """Profiles with a page missing: views are taken as not landed."""
     pages = _profile_pages(spark, folder, drop_type="view")
-    return C.page_gaps(pages)
+    # Pages land twice: what is counted are different items.
+    return C.page_gaps(pages.union(pages.withColumn("page", F.col("page") + 1000)))
 
 
 def _profile_pages(spark: SparkSession, folder: str, drop_type: str | None = None) -> DataFrame:
@@ -175,6 +176,14 @@ def titles_from_offset(spark, folder):
     return dense_title_ids(_titles(spark, folder), start=100)
 
 
+@query
+def more_titles(spark, folder):
+    """Titles from h on are saved; the earlier ones come later and get the ids that follow."""
+    titles = _titles(spark, folder)
+    saved = settle(dense_title_ids(titles.filter(F.col("game_name") >= "h")))
+    return saved.unionByName(R.new_title_ids(titles, saved))
+
+
 @query
 def resume_pending(spark, folder):
     done = T.table(spark, folder, "part").filter(F.col("p_type") == "ECONOMY")
@@ -561,6 +570,16 @@ def mdp_untimed(spark, folder):
     return rows.select("user_id", "step", "review_id", F.col("terminal").cast("int").alias("terminal"))
 
 
+@query
+def mdp_repeated_games(spark, folder):
+    """Every game twice, once without any genre: the fuller vector counts and no review is doubled."""
+    games, terms = _action_games(spark, folder)
+    blank = games.select("game_id", F.array_repeat(F.lit(0.0), len(terms)).alias("vector"))
+    rows = M.transitions(T.event_reviews(spark, folder), games.unionByName(blank), len(terms))
+    filled = F.aggregate("action", F.lit(0.0), lambda a, x: a + x).cast("int").alias("genres")
+    return rows.select("user_id", "step", "review_id", filled, F.col("terminal").cast("int").alias("terminal"))
+
+
 @query
 def mdp_shape(spark, folder):
     games, terms = _action_games(spark, folder)
@@ -598,11 +617,15 @@ def reward_model(spark, folder):
 
 @query
 def reward_model_states(spark, folder):
-    """The reward model on whole states and actions, evaluated on the logged actions."""
+    """The reward model on whole states and actions: at the least squares its mean is that of the rewards."""
     games, terms = _action_games(spark, folder)
     rows = settle(M.transitions(T.event_reviews(spark, folder), games, len(terms)))
     inputs = settle(V.reward_inputs(rows, len(terms)).select("features", "reward"))
-    return V.policy_value(V.fit_reward(inputs, ridge=0.01), inputs)
+    model = V.fit_reward(inputs)
+    gap = V.normal_residual(model, inputs, 2 * len(terms)).select("gap").scalar()
+    return V.policy_value(model, inputs).select(
+        F.round("direct_value", 4).alias("direct_value"), (gap < 1e-3).alias("least_squares")
+    )
 
 
 @query
@@ -641,8 +664,9 @@ def logged_policy(spark, folder):
 def candidates_topk(spark, folder):
     rows = T.table(spark, folder, "embeddings")
     items = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    queries = items.select(F.col("item_id").alias("query_id"), "vector", F.array("item_id").alias("exclude"))
-    found = V.best_items(queries, items, 5)
+    queries = items.withColumnRenamed("item_id", "query_id")
+    itself = items.select(F.col("item_id").alias("query_id"), "item_id")
+    found = V.best_items(queries, items, 5, excluded=itself)
     return found.select("query_id", "rank", "item_id", rounded("score", 6).alias("score"))
 
 
@@ -662,9 +686,9 @@ def top_recommendations(spark, folder):
     reviews = T.event_reviews(spark, folder)
     liked = reviews.filter(F.col("rating") > 5)
     states = V.mean_vector(liked.join(games, "game_id"), ["user_id"], "vector", len(terms))
-    played = reviews.groupBy("user_id").agg(F.collect_set("game_id").alias("exclude"))
-    queries = states.join(played, "user_id").select(F.col("user_id").alias("query_id"), "vector", "exclude")
-    found = V.best_items(queries, games.withColumnRenamed("game_id", "item_id"), 5, measure="dot")
+    played = reviews.select(F.col("user_id").alias("query_id"), F.col("game_id").alias("item_id"))
+    queries = states.withColumnRenamed("user_id", "query_id")
+    found = V.best_items(queries, games.withColumnRenamed("game_id", "item_id"), 5, measure="dot", excluded=played)
     return found.select("query_id", "rank", "item_id", rounded("score", 6).alias("score"))
 
 
@@ -776,28 +800,36 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_dedupe(spark, folder):
-    """The event files landed twice, each event once in the table."""
-    twice = _event_stream(spark, folder).union(_event_stream(spark, folder))
-    table = I.drained(I.unseen(twice, ["event_id"], "ts", "60 days"), "stream-dedupe")
-    return table.select("event_id", "user_id", "event_type", "value")
+    """The newer half of the events lands first, then all of them: late ones count, repeated ones do not."""
+    events = T.table(spark, folder, "events")
+    middle = events.select(F.percentile_approx("ts", 0.5)).scalar()
+    base = fresh_folder(spark, "stream-dedupe")
+    landing, table = os.path.join(base, "landing"), os.path.join(base, "table")
+    for rows in (events.filter(F.col("ts") > middle), events):
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        stream = I.landed_stream(spark, landing, EVENTS, files_per_batch=1)
+        I.unseen_run(stream, table, os.path.join(base, "checkpoint"), ["event_id"], ["ts"], 8).awaitTermination()
+    return spark.read.parquet(table).select("event_id", "user_id", "event_type", "value")
 
 
 @query
 def stream_append(spark, folder):
-    """Landed events appended to a review table as they come."""
-    stream = _event_stream(spark, folder).filter(F.col("value") > 1)
+    """Events landed in several files, appended to a review table a file at a time."""
+    landing = fresh_folder(spark, "landing")
+    T.table(spark, folder, "events").repartition(4, "user_id").write.parquet(landing)
+    stream = I.landed_stream(spark, landing, EVENTS, files_per_batch=1)
     table = I.drained(stream.select("event_id", "user_id", "value"), "stream-append")
     return table.groupBy("user_id").agg(F.count("*").alias("n"), rounded(F.sum("value"), 4).alias("total"))
 
 
 @query
 def feedback_upsert(spark, folder):
-    """Events as feedback: the newest per user and game stays, over two runs into one table."""
+    """Events as feedback: the newest per user and game stays, over three runs into one table."""
     base = fresh_folder(spark, "feedback")
     table = os.path.join(base, "table")
     game = F.get_json_object("props", "$.k").cast("long").alias("game_id")
-    for version, views in enumerate((False, True)):
-        events = _event_stream(spark, folder).filter((F.col("event_type") == "view") == F.lit(views))
+    for version in range(3):
+        events = _event_stream(spark, folder).filter(F.col("event_id") % 3 == F.lit((version + 1) % 3))
         plays = events.select("user_id", game, "event_id", "value")
         run = I.feedback_run(
             plays, table, os.path.join(base, f"run-{version}"), ["user_id", "game_id"], ["event_id"], 8, version

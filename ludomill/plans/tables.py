@@ -172,12 +172,15 @@ def hltb_payloads(rows: DataFrame) -> DataFrame:
 
 
 def xml_payloads(rows: DataFrame) -> DataFrame:
-    """Anchor answers; small parts get an unrelated first hit, SMALL ones no description."""
+    """Anchor answers; small parts get an unrelated first hit, SMALL ones no description, LARGE ones a deeper game."""
+    deep = F.col("p_type") == "LARGE"
     first = F.concat(F.upper(F.left("query_name", F.lit(1))), F.substr("query_name", F.lit(2)))
     name = F.when(F.col("p_size") <= 5, F.lit("unrelated hit 0123456789")).otherwise(first)
     about = F.concat(F.lit("<description>deck "), F.col("query_name"), F.lit("</description>"))
     text = F.concat(
-        F.lit("<response><number_of_total_results>1</number_of_total_results><results><game><id>"),
+        F.lit("<response><number_of_total_results>1</number_of_total_results><results>"),
+        F.when(deep, F.lit("<page><section>")).otherwise(F.lit("")),
+        F.lit("<game><id>"),
         F.col("p_partkey").cast("string"),
         F.lit("</id><name>"),
         name,
@@ -193,7 +196,9 @@ def xml_payloads(rows: DataFrame) -> DataFrame:
         F.split("p_name", " ")[1],
         F.lit("</name></genre><image><original>g/"),
         F.col("p_partkey").cast("string"),
-        F.lit("</original></image></game></results></response>"),
+        F.lit("</original></image></game>"),
+        F.when(deep, F.lit("</section></page>")).otherwise(F.lit("")),
+        F.lit("</results></response>"),
     )
     return _search(rows, text)
 

@@ -37,8 +37,6 @@ HLTB_GAMES = """array<struct<game_name:string,game_type:string,review_score:doub
 
 XML_GAME = """id bigint, name string, theme array<struct<name:string>>, genre array<struct<name:string>>,
     image struct<original:string>, description string, release_date string"""
-XML_GAME_RESPONSE = """results struct<game:array<struct<id:bigint,name:string,theme:array<struct<name:string>>,
-    genre:array<struct<name:string>>,image:struct<original:string>,description:string,release_date:string>>>"""
 XML_REVIEW = "authors string, score double, game struct<name:string>, publish_date string"
 
 METACRITIC_SEARCH = "struct<data:struct<items:array<struct<type:string,title:string,slug:string>>>>"
@@ -50,7 +48,7 @@ REVIEW_SUMMARY = """struct<data:struct<item:struct<positive:array<struct<author:
 PROFILE_PAGE = """struct<data:struct<totalResults:bigint,items:array<struct<author:string,score:double,date:string,
     platform:string,reviewedProduct:struct<title:string,type:string>>>>>"""
 
-# Columns kept of the four downloaded tables, with the type each is read as.
+# Columns kept of the four downloaded tables, with the type each is read as.
 STATIC_TABLES = {
     "reviews": {
         "Review Title": "string",

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ludomill.operators.ordered import last_per_key
-from ludomill.session import fresh_folder, settle
+from ludomill.operators.ordered import first_per_key, last_per_key
+from ludomill.session import fresh_folder
 
 # Pause between runs and titles per flush of the periodic job.
 RUN_EVERY = "10 minutes"
@@ -26,9 +26,32 @@ def landed_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def unseen(stream: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:
-    """Rows whose key was not seen within the watermark, so that replays fall out and old state is dropped."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+def append_unseen(batch: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
+    """Append the rows of a micro-batch whose key the table does not hold yet; of equal keys the first by ``order``.
+
+    The table itself is the memory, so a key is never forgotten and a late row
+    is never lost.  It is partitioned by a hash of the key, and only the
+    buckets a batch touches are read.  A replayed batch adds nothing.
+    """
+    spark = batch.sparkSession
+    fresh = first_per_key(batch, keys, order).withColumn("bucket", _bucket(keys, buckets))
+    if _exists(spark, path):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
+        touched = [row.bucket for row in fresh.select("bucket").distinct().collect()]
+        held = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(touched))
+        fresh = fresh.join(held.select(*keys, "bucket"), [*keys, "bucket"], "left_anti")
+    fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def unseen_run(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64
+) -> StreamingQuery:
+    """Run a stream into :func:`append_unseen` until all that has landed is in."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        append_unseen(batch, path, keys, order, buckets)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, periodic: bool = False) -> StreamingQuery:
@@ -84,10 +107,24 @@ def apply_feedback(
     if _exists(spark, path):
         current = read_feedback(spark, path, schema, before=version)
         both = incoming.unionByName(current.filter(F.col("bucket").isin(touched)).drop("version"))
-    # Settled, for the write below must not read what it replaces on a replay.
-    merged = settle(last_per_key(both, keys, order).withColumn("version", F.lit(version).cast("long")))
+    # Only older versions are read, so a replay may replace its own while it runs.
+    merged = last_per_key(both, keys, order).withColumn("version", F.lit(version).cast("long"))
     writer = merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket", "version")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    _drop_superseded(spark, path, touched, version)
+
+
+def _drop_superseded(spark: SparkSession, path: str, touched: list[int], version: int) -> None:
+    """Of the touched buckets keep the version just written and the one before, which readers may still hold."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for bucket in touched:
+        folder = hadoop.Path(f"{path}/bucket={bucket}")
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        older = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+        older = [v for v in older if v < version]
+        for past in older[:-1]:
+            files.delete(hadoop.Path(folder, f"version={past}"), True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

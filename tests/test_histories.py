@@ -9,7 +9,6 @@ from ludomill.functions import scalars as S
 from ludomill.operators import embeddings as E
 from ludomill.operators import features as Z
 from ludomill.operators.ordered import CHUNK, dense_title_ids, in_chunks, top_per_key, with_position
-from ludomill.operators import transitions as M
 from ludomill.operators.transitions import dataset_shape, transitions, unique_vectors
 
 GAMES = [(101, ["Action", "RPG"]), (102, ["Strategy"]), (103, ["Action", "Souls-like"]), (104, ["RPG", "Turn-Based"])]
@@ -53,9 +52,13 @@ def test_last_review_of_an_unknown_game(spark):
         transitions(reviews, vectors(spark), 5, terminal="never")
 
 
-@pytest.mark.parametrize("widest", [64, 1])
-def test_a_user_with_most_rows_at_one_time(spark, monkeypatch, widest):
-    monkeypatch.setattr(M, "WINDOW_WIDTH", widest)
+def test_repeated_games_do_not_multiply(spark):
+    once = outcome(transitions(spark.createDataFrame(REVIEWS, SCHEMA), vectors(spark), 5))
+    twice = vectors(spark).union(spark.createDataFrame([(101, [0.0] * 5), (102, [0.0] * 5)], "game_id long, vector array<double>"))
+    assert outcome(transitions(spark.createDataFrame(REVIEWS, SCHEMA), twice, 5)) == once
+
+
+def test_a_user_with_most_rows_at_one_time(spark):
     rng = random.Random(5)
     rows = [(i, 1 if rng.random() < 0.8 else rng.randint(2, 20), rng.choice([101, 102, 103, 104, 999]), 6.0, rng.choice([7, 7, 7, 8])) for i in range(3000)]
     reviews = spark.createDataFrame(rows, SCHEMA)

@@ -110,11 +110,27 @@ def test_replayed_files_add_nothing(spark, tmp_path):
     rows = spark.range(50).select("id", F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
     for _ in range(3):
         rows.coalesce(1).write.mode("append").parquet(landing)
-        stream = I.unseen(I.landed_stream(spark, landing, schema, files_per_batch=1), ["id"], "ts", "60 days")
-        I.run_to_table(stream, table, checkpoint).awaitTermination()
+        stream = I.landed_stream(spark, landing, schema, files_per_batch=1)
+        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"], 4).awaitTermination()
     assert spark.read.parquet(table).count() == 50
 
 
+def test_late_rows_and_old_keys(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, ts timestamp"
+
+    def land(low, high, base):
+        rows = spark.range(low, high).select("id", F.timestamp_seconds(F.col("id") * 86_400 + base).alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        stream = I.landed_stream(spark, landing, schema, files_per_batch=1)
+        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"], 4).awaitTermination()
+
+    land(500, 560, 1_700_000_000)
+    land(0, 50, 1_000_000_000)  # never seen, decades late
+    land(500, 560, 1_900_000_000)  # seen long ago
+    assert spark.read.parquet(table).count() == 110
+
+
 def plays(spark, rows):
     return spark.createDataFrame(rows, PLAYS)
 
@@ -134,6 +150,11 @@ def test_feedback_survives_a_half_done_batch(spark, tmp_path):
         assert state() == [(1, 1, 7.0), (2, 1, 1.0), (3, 3, 2.0)]
     I.apply_feedback(plays(spark, []), 2, path, keys, order, 4)
     assert len(state()) == 3
+    for version in range(3, 7):
+        I.apply_feedback(batch, version, path, keys, order, 4)
+        assert len(state()) == 3
+    kept = [len(os.listdir(os.path.join(path, b))) for b in os.listdir(path) if b.startswith("bucket=")]
+    assert max(kept) <= 2
 
 
 def test_review_job_end_to_end(spark, tmp_path):
@@ -185,6 +206,9 @@ def test_game_jobs_end_to_end(spark, tmp_path, folder):
     jobs.more_games(titles, landed, J.settle(first), out)
     games = spark.read.parquet(out)
     assert games.count() == 30 and games.select("game_name").distinct().count() == 30
+    assert sorted(r.id for r in games.select("id").collect()) == list(range(30))
+    kept = {r.game_name: r.id for r in games.collect()}
+    assert all(kept[r.game_name] < 10 for r in titles.filter("p_partkey < 10").collect())
 
     reviews = T.event_reviews(spark, folder)
     keyed = games.withColumn("game_id", F.element_at(F.split("game_name", " "), -1).cast("long")).drop("id")

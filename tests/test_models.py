@@ -61,17 +61,18 @@ def test_games_share_a_vector_and_lose_rows_without(spark):
 
 
 @pytest.mark.parametrize("measure", ["cosine", "dot"])
-@pytest.mark.parametrize("block", [7, 0])
-def test_best_items_in_blocks_and_broadcast(spark, monkeypatch, measure, block):
+@pytest.mark.parametrize("block", [7, 8192])
+def test_best_items_in_blocks(spark, monkeypatch, measure, block):
     monkeypatch.setattr(V, "QUERY_FACTOR", 2)
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 6)), rng.normal(size=(30, 6))
     b[5] = b[4]
     b[6] = 0
     queries = spark.createDataFrame(
-        [(i, v.tolist(), [i % 30, 99] if i % 2 else None) for i, v in enumerate(a)],
-        "query_id long, vector array<double>, exclude array<long>",
+        [(i, v.tolist()) for i, v in enumerate(a)], "query_id long, vector array<double>"
     )
+    barred = [(i, x) for i in range(40) if i % 2 for x in (i % 30, 99)]
+    excluded = spark.createDataFrame(barred, "query_id long, item_id long")
     items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "item_id long, vector array<double>")
     scores = a @ b.T
     if measure == "cosine":
@@ -82,9 +83,7 @@ def test_best_items_in_blocks_and_broadcast(spark, monkeypatch, measure, block):
         allowed = [i for i in range(30) if not (q % 2 and i == q % 30)]
         best = sorted(allowed, key=lambda i: (-round(scores[q, i], 6), i))[:4]
         expected |= {(q, rank + 1, i) for rank, i in enumerate(best)}
-    found = V.best_items(
-        queries, items, 4, measure, broadcast_bytes=0 if block else 1 << 20, block_rows=block
-    ).collect()
+    found = V.best_items(queries, items, 4, measure, excluded=excluded, block_rows=block).collect()
     assert {(r.query_id, r.rank, r.item_id) for r in found} == expected
 
 
