@@ -3,7 +3,7 @@
 Every five-word shingle is hashed once.  The top bits choose one of ``BINS`` bins,
 each bin keeps its least hash, an empty bin borrows from a bin chosen by a hash of
 (bin, attempt) until that one is filled (optimal densification), and the lowest
-``BITS`` bits of each bin are packed.  Likeness is the share of equal bins,
+``BITS`` bits of each bin, hashed with its number, are packed.  Likeness is the share of equal bins,
 corrected for bins that agree by chance.
 
 A text of fewer than five words is one shingle.  Null, empty and blank texts have
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ludomill.llm.words import Words, mix, text_parts
+from ludomill.session import settle
 
 WIDTH = 5
 BINS = 512
 BITS = 4
 # Ids per range that one task links in order; ranges are joined by their ends.
-RANGE_BITS = 7
+RANGE_BITS = 9
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,6 +52,8 @@ def signatures(texts: pa.Array, width: int = WIDTH, bins: int = BINS, bits: int
         hit = filled[rows, donors]
         least[rows[hit], holes[hit]] = least[rows[hit], donors[hit]]
         rows, holes = rows[~hit], holes[~hit]
+    # Bins that borrowed from one another would agree by chance together; hashed with their number they do not.
+    least = mix(least + np.arange(bins, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return (least & np.uint64((1 << bits) - 1)).astype(np.uint8), some
 
 
@@ -89,7 +92,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     After the last document follows the first.  Only the ends of ranges are
     ordered globally: first within 2^10 ranges each, then these groups, which are
-    one in 131,072 ids.
+    one in 524,288 ids.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.shiftright(key, RANGE_BITS).alias("range"), key.alias("key"), "doc_id", "text")
@@ -103,7 +106,8 @@ def linked(docs: DataFrame) -> DataFrame:
         .join(groups, "group")
         .select(F.col("range").alias("to"), F.coalesce("before", "below", "top").alias("key"))
     )
-    following = rows.join(ends, "key").select(F.col("to").alias("range"), F.lit(False).alias("own"), "key", "doc_id", "text")
+    # Written, the ends have a known size: as long as they are few the texts are not shuffled to meet them.
+    following = rows.join(settle(ends), "key").select(F.col("to").alias("range"), F.lit(False).alias("own"), "key", "doc_id", "text")
     own = rows.select("range", F.lit(True).alias("own"), "key", "doc_id", "text")
     return own.union(following)
 

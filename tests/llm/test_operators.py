@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ludomill.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, substrings, token_counts
+from ludomill.llm.grouped import whole_groups
 from ludomill.llm.words import WORD, Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bucket string, kept string"
@@ -366,6 +367,21 @@ def test_chains_of_edits(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_truth(rows)
 
 
+def test_groups_cross_batches():
+    rng = random.Random(8)
+    keys = sorted(rng.randrange(40) for _ in range(300))
+    batches, at = [], 0
+    while at < len(keys):
+        size = rng.randrange(0, 12)
+        batches.append(pa.RecordBatch.from_pydict({"k": pa.array(keys[at : at + size], pa.int64())}))
+        at += size
+    groups = []
+    for batch, starts in whole_groups(iter(batches), ["k"]):
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            groups.append(batch.column("k").to_pylist()[a:b])
+    assert groups == [list(g) for _, g in itertools.groupby(keys)]
+
+
 # 7
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -488,9 +504,10 @@ def removal_truth(rows, window):
     return [(len(w), len(g), " ".join(x for i, x in enumerate(w) if i not in g)) for w, g in zip(seqs, gone)]
 
 
-@pytest.mark.parametrize("shard", [1024, 2])
-def test_repeated_windows_go(spark, docs, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "levels"), [(1024, 4), (2, 0), (2, 2)])
+def test_repeated_windows_go(spark, docs, monkeypatch, shard, levels):
     monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "LEVELS", levels)
     rng = random.Random(4)
     rows = [r[:2] for r in awkward()]
     period = prose(rng, 12, 10**6)
