@@ -20,7 +20,7 @@ SENTENCE_WORDS = 1000
 
 # Subspace iteration: further columns kept beside the wanted ones, and rounds.
 EXTRA = 8
-ROUNDS = 8
+ROUNDS = 5
 # Words and games are hashed to so many places before training, which bounds what the trainer holds on the driver:
 # two arrays of places x width single-precision numbers.
 PLACES = 1 << 16

@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, set up on first use.
 
     ``spark.checkpoint.dir`` wins.  Only a local master may fall back to a
-    folder of its own: on a cluster a machine-local folder is lost with the
+    folder of its own: on a cluster (``local-cluster`` too) a machine-local folder is lost with the
     machine, so an unset value is an error there.
     """
     context = spark.sparkContext
@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         configured = tempfile.mkdtemp(prefix="ludomill-")
     context.setCheckpointDir(configured)
@@ -74,3 +74,16 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Delete what :func:`settle` has written for this application; for the end of a job, when its results are saved."""
+    current = spark.sparkContext.getCheckpointDir()
+    if not current:
+        return
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(current)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        if status.getPath().getName().startswith("settled-"):
+            files.delete(status.getPath(), True)

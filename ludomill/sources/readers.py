@@ -69,8 +69,3 @@ def read_xml_games(spark: SparkSession, path: str) -> DataFrame:
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed payloads, one row per (source, query, fetch)."""
     return spark.read.schema(schemas.LANDED).parquet(path)
-
-
-def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from JSON lines."""
-    return spark.read.schema(schemas.LANDED).json(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-REVIEWS_A = "authors string, score double, game_name string, publish_date string"
-REVIEWS_B = "author string, score double, game_name string, date string, type string, platform string"
 
 GAMES = """id long, name string, release string,
     rawg_rating double, igdb_rating double, hltb_rating double, metacritic_rating double, user_rating double,
@@ -15,8 +13,6 @@ GAMES = """id long, name string, release string,
 GAME_EXTRAS = """game_modes array<string>, game_type string, player_perspectives array<string>,
     themes array<string>, esrb_rating string, slug string"""
 
-TRANSITIONS = """user_id long, step int, review_id long, observation array<float>, action array<float>,
-    reward float, terminal float"""
 
 LANDED = "source string, query_name string, fetched_at timestamp, payload string"
 

@@ -131,6 +131,14 @@ def test_late_rows_and_old_keys(spark, tmp_path):
     assert spark.read.parquet(table).count() == 110
 
 
+def test_settled_tables_can_be_dropped(spark):
+    rows = J.settle(spark.range(5))
+    folder = J.shared_folder(spark).removeprefix("file:")
+    assert rows.count() == 5 and any(n.startswith("settled-") for n in os.listdir(folder))
+    J.drop_settled(spark)
+    assert not any(n.startswith("settled-") for n in os.listdir(folder))
+
+
 def plays(spark, rows):
     return spark.createDataFrame(rows, PLAYS)
 

@@ -34,10 +34,15 @@ def test_counts_combine_before_the_shuffle(spark, folder):
     assert "partial_avg" in text and text.count("Exchange (") == 1
 
 
-NO_PAIRS = ["active_user_reviews", "accepted_hits", "catalogue_matches", "tiered_match", "mdp_transitions", "mdp_wide",
+NO_PAIRS = ["active_user_reviews", "accepted_hits", "anchor_catalogue_match", "catalogue_matches", "tiered_match", "mdp_transitions", "mdp_wide",
             "minmax_scaled", "ips_value", "top_recommendations", "unplayed_games", "game_scores"]
 
 
+def test_transitions_join_their_vectors_once(spark, folder):
+    # What the chunks are summed from is written, so the plan that is left reads it and the offsets only.
+    assert plan(spark, folder, "mdp_wide").count("part.parquet") <= 2
+
+
 @pytest.mark.parametrize("name", NO_PAIRS)
 def test_no_join_without_a_key(spark, folder, name):
     text = plan(spark, folder, name)
