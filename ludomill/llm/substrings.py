@@ -14,8 +14,10 @@ broadcast: broadcasting all shards to all texts would grow with the square of th
 corpus.
 
 A shard with more than ``SHARD`` different passages (a run that a large part of all
-texts shares, each with its own surroundings) is not one automaton: its windows are
-hashed and counted by Spark instead, which is exact as well.
+texts shares, each with its own surroundings) is not one automaton.  Its passages are
+parted again by a second anchor under another hash, which most often lies in the
+surroundings and occurs once, and so on for ``LEVELS`` rounds.  What is still crowded
+then is decided by hashing and counting its windows in Spark, which is exact as well.
 
 Nulls have no words.  Repeated rows are texts of their own, so all they share is
 removed from each.  Empty tables give empty results.  Other columns are carried along.
@@ -37,6 +39,7 @@ from ludomill.session import settle
 WINDOW = 35
 ANCHOR = 5
 SHARD = 1024
+LEVELS = 4
 _NONE = -(1 << 63)
 # A passage in one number: 24 bits of its text's hash, 7 of its length beyond the window, 32 of its first word.
 _UID = (1 << 24) - 1
@@ -67,19 +70,18 @@ def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def passages(words: Words, window: int) -> tuple[np.ndarray, ...]:
+def passages(bounds: np.ndarray, hashes: np.ndarray, window: int, salt: int = 0) -> tuple[np.ndarray, ...]:
     """Per passage: its text, anchor hash, content hash, first word within the text, length in words."""
-    counts = np.diff(words.bounds)
-    hashes = words.hashes
+    counts = np.diff(bounds)
     none = np.zeros(0, np.int64)
     if len(hashes) < window:
         return none, none.view(np.uint64), none.view(np.uint64), none, none
     n_runs = len(hashes) - ANCHOR + 1
-    runs = mix(run_hashes(hashes, np.arange(n_runs), np.arange(n_runs) + ANCHOR))
+    runs = mix(run_hashes(hashes, np.arange(n_runs), np.arange(n_runs) + ANCHOR) ^ np.uint64(salt))
     anchors = _least(runs, window - ANCHOR + 1)
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.arange(len(anchors))
-    whole = starts + window <= words.bounds[1:][owner[: len(anchors)]]
+    whole = starts + window <= bounds[1:][owner[: len(anchors)]]
     starts, anchors = starts[whole], anchors[whole]
     if not len(starts):
         return none, none.view(np.uint64), none.view(np.uint64), none, none
@@ -90,7 +92,7 @@ def passages(words: Words, window: int) -> tuple[np.ndarray, ...]:
     lo, hi = starts[at], starts[last] + window
     texts = owner[lo]
     content = mix(run_hashes(hashes, lo, hi) + (anchors[at] - lo).astype(np.uint64))
-    return texts, runs[anchors[at]], content, lo - words.bounds[texts], hi - lo
+    return texts, runs[anchors[at]], content, lo - bounds[texts], hi - lo
 
 
 class Automaton:
@@ -177,7 +179,8 @@ def _located(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for lo, hi in text_parts(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                texts, anchors, content, first, length = passages(Words(part.column("text")), window)
+                words = Words(part.column("text"))
+                texts, anchors, content, first, length = passages(words.bounds, words.hashes, window)
                 uid = np.asarray(part.column("uid").to_numpy(zero_copy_only=False))[texts]
                 ids = np.asarray(part.column("key").to_numpy(zero_copy_only=False))[texts]
                 at = (uid.astype(np.int64) << 39) | ((length - window) << 32) | first
@@ -280,6 +283,59 @@ def _by_windows(passages: DataFrame, window: int) -> DataFrame:
     return rows.join(often, ["anchor", "hash"]).select("anchor", "content", "begin", (F.col("begin") + window).alias("end"))
 
 
+def _parted(crowded: DataFrame, window: int, salt: int) -> DataFrame:
+    """Sub-passages of crowded anchors: anchor, content, n, begin, sub, piece (its content), words."""
+    schema = pa.schema(
+        [(c, pa.int64()) for c in ("anchor", "content", "n", "begin", "sub", "piece")] + [("words", pa.binary())]
+    )
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                words = rows.column("words").to_pylist()
+                bounds = np.concatenate([[0], np.cumsum([len(w) // 8 for w in words])]).astype(np.int64)
+                hashes = np.frombuffer(b"".join(words), np.uint64)
+                owner, anchors, pieces, first, length = passages(bounds, hashes, window, salt)
+                own = [rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("anchor", "content", "n")]
+                subs = mix(own[0].view(np.uint64) + anchors * np.uint64(3))
+                starts = bounds[owner] + first
+                cut = [hashes[a : a + k].tobytes() for a, k in zip(starts.tolist(), length.tolist())]
+                columns = [*own, first, subs.view(np.int64), pieces.view(np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, pa.int64()) for c in columns], pa.array(cut, pa.binary())], schema=schema
+                )
+
+    kinds = ", ".join(f"{f.name} {'binary' if f.name == 'words' else 'long'}" for f in schema)
+    return crowded.mapInArrow(part, kinds)
+
+
+def _spans_of(words: DataFrame, window: int, level: int = 1) -> DataFrame:
+    """Repeated spans of distinct passages (anchor, content, n, words)."""
+    crowd = words.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    words = settle(words.join(crowd, "anchor"))
+    spans = _by_automata(words.filter(F.col("kinds") <= SHARD).drop("kinds"), window)
+    crowded = words.filter(F.col("kinds") > SHARD).drop("kinds")
+    if crowded.isEmpty():
+        return spans
+    if level > LEVELS:
+        return spans.union(_by_windows(crowded, window))
+    parts = settle(_parted(crowded, window, 0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
+    shared = parts.groupBy("sub").agg(F.sum("n").alias("times")).filter("times > 1").select("sub")
+    parts = settle(parts.join(settle(shared), "sub", "left_semi"))
+    pieces = parts.groupBy(F.col("sub").alias("anchor"), F.col("piece").alias("content")).agg(
+        F.sum("n").alias("n"), F.first("words").alias("words")
+    )
+    inner = settle(_spans_of(pieces, window, level + 1))
+    inner = inner.select(
+        F.col("anchor").alias("sub"), F.col("content").alias("piece"), F.col("begin").alias("a"), F.col("end").alias("b")
+    )
+    placed = parts.join(inner, ["sub", "piece"])
+    return spans.union(
+        placed.select("anchor", "content", (F.col("begin") + F.col("a")).alias("begin"), (F.col("begin") + F.col("b")).alias("end"))
+    )
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with removed: word spans (begin, end) to take out, not in order, may overlap; null if none."""
     keyed = docs.withColumn("_sub_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn(
@@ -299,13 +355,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     listed = F.collect_list(F.struct("anchor", "content", "n", F.col("x.at").alias("at"))).alias("xs")
     several = kinds.filter("kinds > 1")
     wanted = several.groupBy(F.col("x.key").alias("key"), F.shiftright("x.at", 39).alias("uid")).agg(listed)
-    words = settle(_words_of(texts, wanted, window).join(crowd, "anchor"))
-    spans = (
-        alone.union(_by_automata(words.filter(F.col("kinds") <= SHARD).drop("kinds"), window))
-        .union(_by_windows(words.filter(F.col("kinds") > SHARD).drop("kinds"), window))
-        .distinct()
-    )
-    spans = settle(spans)
+    words = settle(_words_of(texts, wanted, window))
+    spans = settle(alone.union(_spans_of(words, window)).distinct())
     first = F.col("at").bitwiseAND(0xFFFFFFFF)
     placed = found.join(spans, ["anchor", "content"]).select(
         F.col("key").alias("_sub_key"),
