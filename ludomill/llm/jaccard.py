@@ -26,12 +26,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludomill.llm.components import Forest, components
+from ludomill.llm.grouped import whole_groups
 from ludomill.llm.words import Words, mix, text_parts
 from ludomill.session import settle
 
@@ -40,7 +40,9 @@ WIDTH = 3
 GROUP = 64
 # Queries compared with one group in one task.
 OPENED = 512
+# Bits of a set's bitmap: the power of two above twice its size, within these.
 BITMAP = 2048
+LARGEST_BITMAP = 1 << 16
 # The order of tokens: counts per place of a token's top bits, of which the largest are kept.
 PLACE_BITS = 22
 ORDERED = 1 << 16
@@ -68,6 +70,29 @@ class Sets:
         ]
 
 
+def bitmaps(sets: Sets) -> list[bytes]:
+    """A bitmap per text.  Larger ones fold onto smaller ones: bit b of one is bit b mod s of one of s bits."""
+    wanted = np.maximum(BITMAP, np.minimum(LARGEST_BITMAP, 1 << np.ceil(np.log2(np.maximum(sets.sizes, 1) * 2)).astype(np.int64)))
+    hashed = mix(sets.tokens + np.uint64(7)).astype(np.int64)
+    out = [b""] * len(wanted)
+    for bits in set(wanted.tolist()):
+        rows = np.flatnonzero(wanted == bits)
+        row_of = np.full(len(wanted), -1)
+        row_of[rows] = np.arange(len(rows))
+        own = row_of[sets.owner]
+        used = own >= 0
+        table = np.zeros((len(rows), bits), bool)
+        table[own[used], hashed[used] & (bits - 1)] = True
+        for row, packed in zip(rows.tolist(), np.packbits(table, axis=1)):
+            out[row] = packed.tobytes()
+    return out
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap folded to ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
 def _places(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
@@ -117,9 +142,7 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                     continue
                 n, starts = sets.sizes[some], sets.bounds[some]
                 cells = [np.minimum.reduceat(mix(sets.tokens ^ np.uint64(salt)), starts) for salt in (0x51ED27, 0xA24BAED4)]
-                bits = np.zeros((len(sets.sizes), BITMAP), bool)
-                bits[sets.owner, (mix(sets.tokens + np.uint64(7)) % np.uint64(BITMAP)).astype(np.int64)] = True
-                maps = np.packbits(bits[some], axis=1)
+                maps = bitmaps(sets)
                 weight = np.zeros(len(sets.tokens), np.int64)
                 if len(places):
                     own = _places(sets.tokens)
@@ -138,7 +161,7 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                         pa.array(n, pa.int32()),
                         pa.array(cells[0].view(np.int64)),
                         pa.array(cells[1].view(np.int64)),
-                        pa.array([m.tobytes() for m in maps], pa.binary()),
+                        pa.array([maps[i] for i in some], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
                     ],
                     names=["digest", "doc_id", "n", "k1", "k2", "bits", "tokens"],
@@ -151,27 +174,52 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
     return found.groupBy("digest").agg(F.min("doc_id").alias("rep"), first).select("digest", "rep", "x.*")
 
 
+_MEMBER = ["rep", "n", "digest", "bits"]
 _GROUPS = (
     "gid long, lo int, hi int, bits binary, members array<struct<rep: bigint, n: int, digest: binary, bits: binary>>, "
     "tokens array<struct<token: bigint, room: int>>"
 )
 
 
-def _as_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The matrix row of one group: its union, its members, and how much of a set can follow each prefix token."""
-    union = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-    tokens = np.concatenate(pdf["tokens"].tolist())
-    room = np.concatenate([n - np.arange(len(t)) for n, t in zip(pdf["n"], pdf["tokens"])])
-    order = np.lexsort((-room, tokens))
-    tokens, room = tokens[order], room[order]
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    members = pdf[["rep", "n", "digest", "bits"]].to_dict("records")
-    pairs = [{"token": t, "room": r} for t, r in zip(tokens[first].tolist(), room[first].tolist())]
-    return pd.DataFrame(
-        {"gid": [pdf["gid"].iloc[0]], "lo": [pdf["n"].min()], "hi": [pdf["n"].max()], "bits": [union.tobytes()],
-         "members": [members], "tokens": [pairs]}
-    )
+def _matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matrix rows of groups: their union, their members, and how much of a set can follow each prefix token."""
+    for batch, starts in whole_groups(batches, ["gid"]):
+        group = np.zeros(batch.num_rows, np.int64)
+        group[starts[1:]] = 1
+        group = np.cumsum(group)
+        ends = np.append(starts[1:], batch.num_rows).astype(np.int32)
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        maps = batch.column("bits").to_pylist()
+        unions = []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            size = min(map(len, maps[a:b]))
+            unions.append(np.bitwise_or.reduce([folded(m, size) for m in maps[a:b]]).tobytes() if b - a > 1 else maps[a])
+        lists = batch.column("tokens")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = lists.flatten().to_numpy(zero_copy_only=False)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        room, owner = np.repeat(n, sizes) - place, np.repeat(group, sizes)
+        order = np.lexsort((-room, tokens, owner))
+        tokens, room, owner = tokens[order], room[order], owner[order]
+        first = np.ones(len(tokens), bool)
+        first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+        per_group = np.cumsum(np.bincount(owner[first], minlength=len(starts))).astype(np.int32)
+        offsets = lambda e: pa.array(np.concatenate([[0], e]).astype(np.int32))
+        members = pa.StructArray.from_arrays([batch.column(c) for c in _MEMBER], names=_MEMBER)
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(tokens[first]), pa.array(room[first].astype(np.int32))], names=["token", "room"]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("gid").take(pa.array(starts)),
+                pa.array(np.minimum.reduceat(n, starts).astype(np.int32)),
+                pa.array(np.maximum.reduceat(n, starts).astype(np.int32)),
+                pa.array(unions, pa.binary()),
+                pa.ListArray.from_arrays(offsets(ends), members),
+                pa.ListArray.from_arrays(offsets(per_group), pairs),
+            ],
+            names=["gid", "lo", "hi", "bits", "members", "tokens"],
+        )
 
 
 def groups_of(classes: DataFrame, size: int) -> DataFrame:
@@ -180,7 +228,7 @@ def groups_of(classes: DataFrame, size: int) -> DataFrame:
     placed = classes.join(settle(cells), ["k1", "k2"], "left")
     placed = placed.withColumn("gid", F.xxhash64("k1", "k2", F.pmod(F.xxhash64("rep"), shares)))
     rows = placed.select("gid", "rep", "n", "digest", "bits", "tokens")
-    return rows.groupBy("gid").applyInPandas(_as_group, _GROUPS)
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_matrix_rows, _GROUPS)
 
 
 def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
@@ -202,11 +250,12 @@ def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out = {"gid": [], "rep": [], "digest": []}
             for row in batch.to_pylist():
-                union = np.frombuffer(row["bits"], np.uint8)
                 members = row["members"]
                 sizes = np.array([m["n"] for m in members])
-                maps = np.frombuffer(b"".join(m["bits"] for m in members), np.uint8).reshape(len(members), -1)
-                missing = np.bitwise_count(maps & ~union).sum(1, dtype=np.int64)
+                missing = np.zeros(len(members), np.int64)
+                for i, m in enumerate(members):
+                    size = min(len(m["bits"]), len(row["bits"]))
+                    missing[i] = np.bitwise_count(folded(m["bits"], size) & ~folded(row["bits"], size)).sum()
                 needed = np.maximum(sizes, row["lo"])  # overlap of a link is at least t of the larger set
                 good = ((sizes - missing) * 100 >= needed * percent) & (sizes * percent <= row["hi"] * 100)
                 for i in np.flatnonzero(good).tolist():
@@ -226,35 +275,44 @@ def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def opened(rows: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) that span the components among the texts of each (gid, part)."""
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = Sets(pa.array(pdf["text"], pa.large_string()), width)
-        right = [d == bytes(e) for d, e in zip(sets.digests(), pdf["digest"])]
-        reps, asks = pdf["rep"].tolist(), pdf["asks"].tolist()
-        members = [i for i in range(len(pdf)) if right[i] and not asks[i]]
-        forest = Forest(len(pdf))
-        if members:
-            sizes = sets.sizes[members]
-            own = np.concatenate([sets.tokens[sets.bounds[i] : sets.bounds[i + 1]] for i in members])
-            slot = np.repeat(np.arange(len(members)), sizes)
-            order = np.argsort(own, kind="stable")
-            own, slot = own[order], slot[order]
-            place = {m: k for k, m in enumerate(members)}
-            for i in range(len(pdf)):
-                if not right[i]:
-                    continue
-                tokens = sets.tokens[sets.bounds[i] : sets.bounds[i + 1]]
-                lo, hi = np.searchsorted(own, tokens), np.searchsorted(own, tokens, side="right")
-                runs = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-                shared = np.bincount(slot[at], minlength=len(members))
-                for k in np.flatnonzero(shared * 100 >= percent * (sizes + len(tokens) - shared)).tolist():
-                    if k != place.get(i):
-                        forest.join(i, members[k])
-        roots = [forest.root(i) for i in range(len(pdf))]
-        linked = [(reps[i], reps[r]) for i, r in enumerate(roots) if reps[i] != reps[r]]
-        return pd.DataFrame(linked, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("gid", "part").applyInPandas(compare, "a long, b long")
+    def linked(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+        sets = Sets(batch.column("text"), width)
+        right = [d == e for d, e in zip(sets.digests(), batch.column("digest").to_pylist())]
+        reps, asks = batch.column("rep").to_pylist(), batch.column("asks").to_pylist()
+        members = [i for i in range(len(reps)) if right[i] and not asks[i]]
+        if not members:
+            return []
+        forest = Forest(len(reps))
+        sizes = sets.sizes[members]
+        own = np.concatenate([sets.tokens[sets.bounds[i] : sets.bounds[i + 1]] for i in members])
+        slot = np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(own, kind="stable")
+        own, slot = own[order], slot[order]
+        place = {m: k for k, m in enumerate(members)}
+        for i in range(len(reps)):
+            if not right[i]:
+                continue
+            tokens = sets.tokens[sets.bounds[i] : sets.bounds[i + 1]]
+            lo, hi = np.searchsorted(own, tokens), np.searchsorted(own, tokens, side="right")
+            runs = hi - lo
+            at = np.repeat(lo - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            shared = np.bincount(slot[at], minlength=len(members))
+            for k in np.flatnonzero(shared * 100 >= percent * (sizes + len(tokens) - shared)).tolist():
+                if k != place.get(i):
+                    forest.join(i, members[k])
+        roots = [forest.root(i) for i in range(len(reps))]
+        return [(reps[i], reps[r]) for i, r in enumerate(roots) if reps[i] != reps[r]]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in whole_groups(batches, ["gid", "part"]):
+            found: list[tuple[int, int]] = []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                found += linked(batch.slice(a, b - a))
+            columns = zip(*found) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    rows = rows.select("gid", "part", "rep", "digest", "asks", "text")
+    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(compare, "a long, b long")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:

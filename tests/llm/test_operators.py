@@ -352,6 +352,20 @@ def test_components(docs, group):
     assert sorted((value(r.doc_id), r.n_shingles, value(r.component_id)) for r in got) == jaccard_truth(awkward())
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = random.Random(12)
+    texts = [prose(rng, n, 10**6) for n in (3, 900, 1100, 1100, 5000)]
+    texts[3] = texts[2][:4000] + " tail " + texts[2][5000:]
+    sets = jaccard.Sets(pa.array(texts, pa.large_string()), 3)
+    maps = jaccard.bitmaps(sets)
+    assert [len(m) * 8 for m in maps] == [2048, 2048, 4096, 2048, 16384]
+    for i, j in itertools.permutations(range(5), 2):
+        size = min(len(maps[i]), len(maps[j]))
+        missing = np.bitwise_count(jaccard.folded(maps[i], size) & ~jaccard.folded(maps[j], size)).sum()
+        own = [set(sets.tokens[sets.bounds[k] : sets.bounds[k + 1]].tolist()) for k in (i, j)]
+        assert len(own[0] & own[1]) <= len(own[0]) - missing
+
+
 def test_chains_of_edits(spark, monkeypatch):
     rng = random.Random(2)
     rows = []
