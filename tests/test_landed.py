@@ -177,14 +177,16 @@ def test_review_job_end_to_end(spark, tmp_path):
     item = '{"author":"%s","score":9,"date":"d","platform":"PC","reviewedProduct":{"title":"A","type":"game-title"}}'
     page = '{"data":{"totalResults":%d,"items":[%s]}}'
     pages = spark.createDataFrame(
-        [("Bob", 0, page % (3, ",".join([item % "Bob"] * 3))), ("Cy", 0, page % (2, item % "Cy")), ("Dan", 0, page % (9, item % "Dan"))],
+        [("Bob", 0, page % (3, ",".join(item.replace('"d"', f'"d{i}"') % "Bob" for i in range(3)))), ("Cy", 0, page % (2, item % "Cy")), ("Dan", 0, page % (9, item % "Dan"))],
         "author string, page long, payload string",
     )
     out = str(tmp_path / "reviews")
     jobs.review_corpus(spark, str(tmp_path / "xml"), summaries, pages, out)
     rows = sorted((r.author, r.score, r.type) for r in spark.read.parquet(out).collect())
-    assert rows == [("Ann", 8.0, None), ("Bob", 9.0, "game-title")]
+    assert rows == [("Ann", 8.0, None), *[("Bob", 9.0, "game-title")] * 3]
     assert sorted(r.author for r in C.page_gaps(pages).collect()) == ["Cy", "Dan"]
+    repeated = spark.createDataFrame([("Bob", 0, page % (3, ",".join([item % "Bob"] * 3)))], "author string, page long, payload string")
+    assert [r.landed for r in C.page_gaps(repeated).collect()] == [1]
     assert os.path.exists(out)
 
 
