@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ludomill.llm import jaccard, mixing, packing, pii, quality
 from ludomill.session import settle
 
+# Near copies share this percentage of the runs of so many words; op6 has its own bar.
+NEAR_PERCENT = 80
+NEAR_WIDTH = 5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are close to a language reference."""
@@ -22,7 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies; texts without words all stay."""
-    found = jaccard.similar(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = jaccard.similar(docs, NEAR_PERCENT, NEAR_WIDTH)
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     rows = docs.alias("a").join(found.alias("b"), same, "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text", "source", "lang")

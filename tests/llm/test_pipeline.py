@@ -84,6 +84,18 @@ def test_stages(spark, folder_of_rows):
     assert sorted(map(key, whole)) == sorted(map(key, out))
 
 
+def test_near_copies_share_four_fifths_of_five_words(spark):
+    rng = random.Random(31)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+    # 41 of 51 five-word runs are shared, 45 of 51 three-word runs; a second change leaves 36 of 56.
+    once = [*text[:20], "changed", *text[21:]]
+    rows = [(i, " ".join(t), "en", "a", None, None, None, None) for i, t in ((1, text), (2, once), (3, text[::-1]))]
+    rows.append((4, " ".join([*text[:20], "other", *text[21:30], "more", *text[31:]]), *rows[0][2:]))
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
+    assert {i for i, _, c in jaccard_truth(rows, 80, 5) if i == c} == {1, 3, 4}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
