@@ -3,15 +3,16 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept;
 all but the last return the columns of ``documents``.  Nulls, empty tables, repeated
 rows and more columns are handled as the operators state.  Rows that repeat an id
-count as one document in the second stage, which keeps the first of them by text.
+and a text count as one document in the second stage; different texts never do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludomill.llm import jaccard, mixing, packing, pii, quality
+from ludomill.llm.words import WORD
 from ludomill.session import settle
 
 # Near copies share this percentage of the runs of so many words; op6 has its own bar.
@@ -25,13 +26,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; texts without words all stay."""
-    found = jaccard.similar(docs, NEAR_PERCENT, NEAR_WIDTH)
-    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    rows = docs.alias("a").join(found.alias("b"), same, "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
+    """The document with the smallest id of every group of near copies; texts without words all stay.
+
+    Of texts of one set and id the one with the least hash stays, of equal ones the first by source and language.
+    """
+    found = jaccard.firsts(docs, NEAR_PERCENT, NEAR_WIDTH).select(F.col("rep").alias("_near_rep"), F.col("hash").alias("_near_hash"))
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard._NONE))
+    rows = docs.filter(~wordless).withColumns({"_near_rep": rep, "_near_hash": F.xxhash64("text")})
+    rows = rows.join(found, ["_near_rep", "_near_hash"], "left_semi")
+    # Rows that repeat an id and a text; different texts are never one group.
+    first = F.min_by(F.struct(*docs.columns), F.struct("source", "lang")).alias("_near_row")
+    rows = rows.groupBy("_near_rep", "_near_hash", F.col("text").alias("_near_text")).agg(first).select("_near_row.*")
+    return docs.filter(wordless).unionByName(rows)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,9 +15,10 @@
 5. Opened groups are compared on whole texts, and links become components.
 
 Nulls, empty and blank texts have no shingles and link with nothing.  A null id is
-a document of its own kind (the smallest).  Repeated rows are one class.  An empty
-table gives an empty result.  Rows with the same id and different texts are
-documents of their own and share only what their texts link.
+the smallest.  Repeated rows are one class.  An empty table gives an empty result.
+A class is known by its set and its texts by (id, hash), so rows with the same id (or
+none) and different texts are documents of their own and share only what their texts
+link; the id of a component is the smallest in it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ludomill.llm.components import Forest, components
@@ -93,13 +94,23 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
 
 
+def _node(rep: int, digest: bytes) -> bytes:
+    """A class as a node of the links; nodes sort by their smallest id."""
+    return (rep - _NONE).to_bytes(8, "big") + digest
+
+
+def _node_column() -> Column:
+    # -2^63 comes first if the sign bit is turned over.
+    return F.concat(F.unhex(F.lpad(F.hex(F.col("rep").bitwiseXOR(F.lit(_NONE))), 16, "0")), F.col("digest"))
+
+
 def _places(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for lo, hi in text_parts(batch.column("text")):
-        yield batch.column("doc_id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
+        yield batch.slice(lo, hi - lo)
 
 
 def measured(docs: DataFrame, width: int) -> DataFrame:
@@ -111,8 +122,8 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
         )
         times = np.zeros(1 << PLACE_BITS, np.int32)
         for batch in batches:
-            for ids, texts in _texts(batch):
-                sets = Sets(texts, width)
+            for part in _texts(batch):
+                ids, sets = part.column("doc_id"), Sets(part.column("text"), width)
                 times += np.bincount(_places(sets.tokens), minlength=1 << PLACE_BITS).astype(np.int32)
                 none = pa.nulls(len(ids), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -129,14 +140,14 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
 
 
 def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """One row per distinct set: digest, rep, n, cell keys, bitmap, prefix tokens in order."""
+    """One row per distinct set: digest, rep and text (id and hash of its first text), n, cell keys, bitmap, prefix tokens in order."""
     order = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, times = order.value
         for batch in batches:
-            for ids, texts in _texts(batch):
-                sets = Sets(texts, width)
+            for part in _texts(batch):
+                sets = Sets(part.column("text"), width)
                 some = np.flatnonzero(sets.sizes)
                 if not len(some):
                     continue
@@ -157,26 +168,27 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([digests[i] for i in some], pa.binary()),
-                        ids.take(pa.array(some)).fill_null(_NONE),
+                        part.column("rep").take(pa.array(some)),
+                        part.column("hash").take(pa.array(some)),
                         pa.array(n, pa.int32()),
                         pa.array(cells[0].view(np.int64)),
                         pa.array(cells[1].view(np.int64)),
                         pa.array([maps[i] for i in some], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
                     ],
-                    names=["digest", "doc_id", "n", "k1", "k2", "bits", "tokens"],
+                    names=["digest", "rep", "hash", "n", "k1", "k2", "bits", "tokens"],
                 )
 
     found = docs.mapInArrow(
-        rows, "digest binary, doc_id long, n int, k1 long, k2 long, bits binary, tokens array<bigint>"
+        rows, "digest binary, rep long, hash long, n int, k1 long, k2 long, bits binary, tokens array<bigint>"
     )
-    first = F.min_by(F.struct("n", "k1", "k2", "bits", "tokens"), "doc_id").alias("x")
-    return found.groupBy("digest").agg(F.min("doc_id").alias("rep"), first).select("digest", "rep", "x.*")
+    first = F.min_by(F.struct("rep", "hash", "n", "k1", "k2", "bits", "tokens"), F.struct("rep", "hash")).alias("x")
+    return found.groupBy("digest").agg(first).select("digest", "x.*")
 
 
-_MEMBER = ["rep", "n", "digest", "bits"]
+_MEMBER = ["rep", "hash", "n", "digest", "bits"]
 _GROUPS = (
-    "gid long, lo int, hi int, bits binary, members array<struct<rep: bigint, n: int, digest: binary, bits: binary>>, "
+    "gid long, lo int, hi int, bits binary, members array<struct<rep: bigint, hash: bigint, n: int, digest: binary, bits: binary>>, "
     "tokens array<struct<token: bigint, room: int>>"
 )
 
@@ -226,8 +238,8 @@ def groups_of(classes: DataFrame, size: int) -> DataFrame:
     cells = classes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("cell")).filter(F.col("cell") > size)
     shares = F.coalesce(F.ceil(F.col("cell") / size), F.lit(1))
     placed = classes.join(settle(cells), ["k1", "k2"], "left")
-    placed = placed.withColumn("gid", F.xxhash64("k1", "k2", F.pmod(F.xxhash64("rep"), shares)))
-    rows = placed.select("gid", "rep", "n", "digest", "bits", "tokens")
+    placed = placed.withColumn("gid", F.xxhash64("k1", "k2", F.pmod(F.xxhash64("digest"), shares)))
+    rows = placed.select("gid", "rep", "hash", "n", "digest", "bits", "tokens")
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_matrix_rows, _GROUPS)
 
 
@@ -244,11 +256,11 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(gid, rep, digest, asks): members of opened groups, and the outsiders that qualify to ask them."""
+    """(gid, rep, hash, digest): the outsiders that qualify to ask a group."""
 
     def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"gid": [], "rep": [], "digest": []}
+            out = {"gid": [], "rep": [], "hash": [], "digest": []}
             for row in batch.to_pylist():
                 members = row["members"]
                 sizes = np.array([m["n"] for m in members])
@@ -260,24 +272,24 @@ def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 good = ((sizes - missing) * 100 >= needed * percent) & (sizes * percent <= row["hi"] * 100)
                 for i in np.flatnonzero(good).tolist():
                     out["gid"].append(row["b"])
-                    out["rep"].append(members[i]["rep"])
-                    out["digest"].append(members[i]["digest"])
-            yield pa.RecordBatch.from_pydict(
-                out, schema=pa.schema([("gid", pa.int64()), ("rep", pa.int64()), ("digest", pa.binary())])
-            )
+                    for c in ("rep", "hash", "digest"):
+                        out[c].append(members[i][c])
+            schema = pa.schema([("gid", pa.int64()), ("rep", pa.int64()), ("hash", pa.int64()), ("digest", pa.binary())])
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     left = groups.select(F.col("gid").alias("a"), "members")
     right = groups.select(F.col("gid").alias("b"), "lo", "hi", "bits")
     asking = pairs.join(right, "b").join(left, "a").select("b", "lo", "hi", "bits", "members")
-    return asking.mapInArrow(qualify, "gid long, rep long, digest binary")
+    return asking.mapInArrow(qualify, "gid long, rep long, hash long, digest binary")
 
 
 def opened(rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) that span the components among the texts of each (gid, part)."""
+    """Links (a, b) of nodes that span the components among the texts of each (gid, part)."""
 
-    def linked(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    def linked(batch: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
         sets = Sets(batch.column("text"), width)
-        right = [d == e for d, e in zip(sets.digests(), batch.column("digest").to_pylist())]
+        digests = batch.column("digest").to_pylist()
+        right = [d == e for d, e in zip(sets.digests(), digests)]
         reps, asks = batch.column("rep").to_pylist(), batch.column("asks").to_pylist()
         members = [i for i in range(len(reps)) if right[i] and not asks[i]]
         if not members:
@@ -301,24 +313,29 @@ def opened(rows: DataFrame, percent: int, width: int) -> DataFrame:
                 if k != place.get(i):
                     forest.join(i, members[k])
         roots = [forest.root(i) for i in range(len(reps))]
-        return [(reps[i], reps[r]) for i, r in enumerate(roots) if reps[i] != reps[r]]
+        pairs = [(i, r) for i, r in enumerate(roots) if digests[i] != digests[r]]
+        return [(_node(reps[i], digests[i]), _node(reps[r], digests[r])) for i, r in pairs]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, ["gid", "part"]):
-            found: list[tuple[int, int]] = []
+            found: list[tuple[bytes, bytes]] = []
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 found += linked(batch.slice(a, b - a))
             columns = zip(*found) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
     rows = rows.select("gid", "part", "rep", "digest", "asks", "text")
-    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(compare, "a long, b long")
+    return rows.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(compare, "a binary, b binary")
 
 
-def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, digest (of the set; null without words)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = settle(measured(docs, width))
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, rep (the id, -2^63 for none), hash (of the text)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ids.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), F.xxhash64("text").alias("hash"))
+
+
+def joined_classes(facts: DataFrame, docs: DataFrame, percent: int, width: int, group: int) -> DataFrame:
+    """Per class: digest, rep and hash of its first text, node, root (the node that sorts first in its component)."""
     counted = facts.filter("place is not null").groupBy("place").agg(F.sum("times").alias("times"))
     top = np.array(
         [tuple(r) for r in counted.orderBy(F.desc("times"), "place").limit(ORDERED).collect()], np.int64
@@ -328,27 +345,36 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group:
     groups = settle(groups_of(classes, group))
     pairs = group_pairs(groups, percent)
     asking = settle(bound(groups, pairs, percent))
+    columns = ["gid", "rep", "hash", "digest"]
     # Groups with several members are also compared within.
-    inside = groups.filter(F.size("members") > 1).select("gid", F.inline("members")).select("gid", "rep", "digest")
+    inside = groups.filter(F.size("members") > 1).select("gid", F.inline("members")).select(*columns)
     parts = asking.groupBy("gid").agg(F.count(F.lit(1)).alias("asked")).withColumn("parts", F.ceil(F.col("asked") / OPENED))
     parts = settle(parts.select("gid", F.col("parts").cast("int").alias("parts")))
-    listed = groups.select("gid", F.inline("members")).select("gid", "rep", "digest")
+    listed = groups.select("gid", F.inline("members")).select(*columns)
     answering = listed.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     alone = inside.join(parts, "gid", "left_anti").withColumn("part", F.lit(0))
-    asked = asking.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    columns = ["gid", "part", "rep", "digest"]
+    asked = asking.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    columns += ["part"]
     calls = (
         answering.select(*columns, F.lit(False).alias("asks"))
         .union(alone.select(*columns, F.lit(False)))
         .union(asked.select(*columns, F.lit(True)))
     )
     calls = settle(calls)
-    wanted = settle(calls.select("rep").distinct())
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), "text").join(wanted, "rep", "left_semi")
-    links = opened(calls.join(texts, "rep"), percent, width)
+    wanted = settle(calls.select("rep", "hash").distinct())
+    texts = docs.select("rep", "hash", "text").join(wanted, ["rep", "hash"], "left_semi")
+    links = opened(calls.join(texts, ["rep", "hash"]), percent, width)
     roots = settle(components(links))
-    classes = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = settle(classes.select("digest", F.coalesce("root", "rep").alias("component")))
+    classes = classes.select("digest", "rep", "hash", _node_column().alias("node")).join(roots, "node", "left")
+    return settle(classes.withColumn("root", F.coalesce("root", "node")))
+
+
+def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, digest (of the set; null without words)."""
+    docs = identified(docs)
+    facts = settle(measured(docs.select("doc_id", "text"), width))
+    least = F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_NONE))
+    classes = joined_classes(facts, docs, percent, width, group).select("digest", least.alias("component"))
     rows = facts.filter("place is null")
     return rows.join(classes, "digest", "left").select(
         "doc_id",
@@ -358,3 +384,10 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group:
         .alias("component_id"),
         "digest",
     )
+
+
+def firsts(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, group: int = GROUP) -> DataFrame:
+    """rep and hash, as of :func:`identified`, of the first text of every component; texts without words are in none."""
+    docs = identified(docs)
+    facts = settle(measured(docs.select("doc_id", "text"), width))
+    return joined_classes(facts, docs, percent, width, group).filter("node = root").select("rep", "hash")

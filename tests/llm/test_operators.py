@@ -381,6 +381,29 @@ def test_chains_of_edits(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_truth(rows)
 
 
+def rows_that_share_ids():
+    """Pairs of near copies in which one text has no id, or the id of others, beside clean texts without an id."""
+    rng = random.Random(13)
+    rows = []
+    for here, there in ((None, 7), (None, 9), (5, 11), (5, 12), (-4, None), (30, 20), (5, 3)):
+        text = prose(rng, 120, 10**6)
+        rows += [(here, text), (there, f"{text} end")]
+    return rows + [(None, prose(rng, 120, 10**6)) for _ in range(4)] + [(5, prose(rng, 120, 10**6)), rows[0]]
+
+
+@pytest.mark.parametrize("group", [1, 64])
+def test_texts_that_share_an_id_stay_apart(spark, group):
+    rows = rows_that_share_ids()
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group=group).collect()
+    value = lambda x: -1 if x is None else x
+    # The counterpart writes a missing id as -1; here it is below all others.
+    shifted = [(None if i is None else i + 10, t) for i, t in rows]
+    truth = sorted((i if i < 0 else i - 10, n, c if c < 0 else c - 10) for i, n, c in jaccard_truth(shifted))
+    assert sorted((value(r.doc_id), r.n_shingles, value(r.component_id)) for r in got) == truth
+    by_id = {r.doc_id: r.component_id for r in got if r.doc_id not in (None, 5)}
+    assert by_id == {7: None, 9: None, 11: 5, 12: 5, -4: None, 30: 20, 20: 20, 3: 3}
+
+
 def test_groups_cross_batches():
     rng = random.Random(8)
     keys = sorted(rng.randrange(40) for _ in range(300))

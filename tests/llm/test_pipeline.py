@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
-from test_operators import SCHEMA, awkward, jaccard_truth, words  # noqa: E402
+from test_operators import SCHEMA, awkward, jaccard_truth, rows_that_share_ids, words  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
@@ -96,6 +96,16 @@ def test_near_copies_share_four_fifths_of_five_words(spark):
     assert {i for i, _, c in jaccard_truth(rows, 80, 5) if i == c} == {1, 3, 4}
 
 
+def test_one_of_each_without_ids_of_their_own(spark):
+    rows = [(i, t, "en", "a", None, None, None, None) for i, t in rows_that_share_ids()]
+    rows += [(5, " ", "en", "a", None, None, None, None), (None, None, "en", "a", None, None, None, None)]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    # Of each pair the first or, with the smaller id, the second; the clean texts; the wordless ones.
+    wanted = [rows[i][:2] for i in (0, 2, 4, 6, 9, 11, 13, 14, 15, 16, 17, 18, 20, 21)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((key((r.doc_id, r.text)) for r in kept.collect())) == sorted(map(key, wanted))
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
