@@ -41,8 +41,7 @@ ANCHOR = 5
 SHARD = 1024
 LEVELS = 4
 _NONE = -(1 << 63)
-# A passage in one number: 24 bits of its text's hash, 7 of its length beyond the window, 32 of its first word.
-_UID = (1 << 24) - 1
+# A passage's place in one number: 7 bits of its length beyond the window, 32 of its first word.
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -173,7 +172,7 @@ def repeated_spans(sequences: list[list[int]], times: list[int], window: int) ->
 
 
 def _located(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, content, doc_id, at: all passages of all texts."""
+    """anchor, content, key, uid, at: all passages of all texts; key (id) and uid (hash) tell a text."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +182,13 @@ def _located(docs: DataFrame, window: int) -> DataFrame:
                 texts, anchors, content, first, length = passages(words.bounds, words.hashes, window)
                 uid = np.asarray(part.column("uid").to_numpy(zero_copy_only=False))[texts]
                 ids = np.asarray(part.column("key").to_numpy(zero_copy_only=False))[texts]
-                at = (uid.astype(np.int64) << 39) | ((length - window) << 32) | first
+                at = ((length - window) << 32) | first
+                columns = [anchors.view(np.int64), content.view(np.int64), ids, uid, at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(at)],
-                    names=["anchor", "content", "key", "at"],
+                    [pa.array(c) for c in columns], names=["anchor", "content", "key", "uid", "at"]
                 )
 
-    return docs.mapInArrow(locate, "anchor long, content long, key long, at long")
+    return docs.mapInArrow(locate, "anchor long, content long, key long, uid long, at long")
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -339,13 +338,13 @@ def _spans_of(words: DataFrame, window: int, level: int = 1) -> DataFrame:
 def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with removed: word spans (begin, end) to take out, not in order, may overlap; null if none."""
     keyed = docs.withColumn("_sub_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn(
-        "_sub_uid", F.xxhash64("text").bitwiseAND(_UID)
+        "_sub_uid", F.xxhash64("text")
     )
     texts = keyed.select(F.col("_sub_key").alias("key"), F.col("_sub_uid").alias("uid"), "text")
     located = _located(texts, window)
     shared = settle(located.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     found = settle(located.join(shared, "anchor", "left_semi"))
-    least = F.min(F.struct("key", "at")).alias("x")
+    least = F.min(F.struct("key", "uid", "at")).alias("x")
     kinds = settle(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), least))
     crowd = settle(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")))
     length = F.shiftright("x.at", 32).bitwiseAND(0x7F) + window
@@ -354,13 +353,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     alone = kinds.filter("kinds = 1").select("anchor", "content", F.lit(0).cast("long").alias("begin"), length.alias("end"))
     listed = F.collect_list(F.struct("anchor", "content", "n", F.col("x.at").alias("at"))).alias("xs")
     several = kinds.filter("kinds > 1")
-    wanted = several.groupBy(F.col("x.key").alias("key"), F.shiftright("x.at", 39).alias("uid")).agg(listed)
+    wanted = several.groupBy(F.col("x.key").alias("key"), F.col("x.uid").alias("uid")).agg(listed)
     words = settle(_words_of(texts, wanted, window))
     spans = settle(alone.union(_spans_of(words, window)).distinct())
     first = F.col("at").bitwiseAND(0xFFFFFFFF)
     placed = found.join(spans, ["anchor", "content"]).select(
         F.col("key").alias("_sub_key"),
-        F.shiftright("at", 39).alias("_sub_uid"),
+        F.col("uid").alias("_sub_uid"),
         F.struct((first + F.col("begin")).alias("begin"), (first + F.col("end")).alias("end")).alias("span"),
     )
     per_text = placed.groupBy("_sub_key", "_sub_uid").agg(F.collect_set("span").alias("removed"))

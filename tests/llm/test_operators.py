@@ -558,6 +558,21 @@ def test_repeated_windows_go(spark, docs, monkeypatch, shard, levels):
     assert mine == truth
 
 
+def test_spans_stay_with_their_text(spark):
+    """Texts without an id whose hashes agree in the low 24 bits, one with a repeated passage and one without."""
+    rng = random.Random(14)
+    shared, own = prose(rng, 40, 10**6), prose(rng, 50, 10**6)
+    tried = [f"{text} {i}" for text in (shared, own) for i in range(8000)]
+    hashed = spark.createDataFrame([(t,) for t in tried], "text string").select("text", F.xxhash64("text").alias("h")).collect()
+    low = {r.h & 0xFFFFFF: r.text for r in hashed if r.text.startswith(shared)}
+    alike = next((low[r.h & 0xFFFFFF], r.text) for r in hashed if r.text.startswith(own) and r.h & 0xFFFFFF in low)
+    rows = [(None, alike[0]), (None, alike[1]), (1, shared)]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    truth = [(r[0], *t) for r, t in zip(rows, removal_truth(rows, 35))]
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got} == set(truth)
+    assert (None, 51, 0, alike[1]) in truth
+
+
 def test_automaton_against_brute_force():
     rng = random.Random(6)
     for _ in range(200):
