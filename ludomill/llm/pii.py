@@ -78,7 +78,7 @@ _ALIKE = {
     "һ": "h", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ո": "n", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
     "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S", "α": "a", "ο": "o",
     "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "υ": "u", "τ": "t", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H",
-    "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "․": ".",
+    "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "İ": "I", "ſ": "s", "․": ".",
     "。": ".", "｡": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹢": "+", " ": " ",
     " ": " ", " ": " ",
 }

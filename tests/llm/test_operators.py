@@ -479,6 +479,19 @@ def test_clean_texts_have_no_spans(text):
     assert pii.all_spans(text) == ([], [])
 
 
+def test_letters_that_match_others_whatever_their_case():
+    for text in ("eins zwei drei ſechs", "five four SİX", "pluſ one two", "one dot ſix"):
+        assert pii.all_spans(text) == ([], [])
+    call = "pluſ vier neun eins ſieben zwei dreı vİer fünf ſechs sieben"
+    assert pii.all_spans(f"ruf {call} an")[1] == [("phone", 4, 4 + len(call))]
+    letters = sorted(set("".join(pii._DIGITS)))
+    every = "".join(map(chr, range(0x80, 0x30000)))
+    for a in letters:
+        for c in re.findall(a, every, re.IGNORECASE):
+            for word in pii._DIGITS:
+                pii.rewrite(f"one two three {word.replace(a, c)}")
+
+
 def test_long_runs_are_quick():
     for text in ("a" * 200_000, "1" * 100_000 + ".", "+1 " * 60_000, "a@" * 60_000, "1." * 60_000, "one " * 40_000):
         pii.all_spans(text)
