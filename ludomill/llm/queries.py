@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludomill.llm import chat, fingerprints, jaccard, langid, mixing, packing, pii, quality, substrings, token_counts
+from ludomill.llm import chat, divergence, fingerprints, jaccard, langid, licenses, mixing, packing, pii, quality, substrings, token_counts, whitening
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +74,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_documents(spark, folder).select("text", "lang", "source"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(_documents(spark, folder).select("doc_id", "text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
@@ -85,6 +97,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_license_scans": op13_license_scans,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -167,4 +182,40 @@ select doc_id, len(l)::bigint as n_words, (len(l) - coalesce(n, 0))::bigint as n
   sha256(coalesce(kept, '')) as kept_sha256
 from d left join k using (doc_id)
 """,
+    "op11_source_divergence": r"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as l from documents
+), w as (select row, lang, source, unnest(l) as term from d
+), k as (
+  select lang, term, count(*)::hugeint as c from w group by lang, term having count(distinct row) >= 10
+), v as (select lang, count(*)::hugeint as v, sum(c)::hugeint as n from k group by lang
+), q as (select lang, term, 1 + (1000000000::hugeint * (c + 2)) // (n + 2 * v) as q from k join v using (lang)
+), c as (select lang, source, term, count(*)::hugeint as c from w join k using (lang, term) group by all
+), t as (
+  select lang, source, coalesce(v, 0) as v, coalesce(n, 0) as n
+  from (select distinct lang, source from d) left join (select lang, v from v) using (lang)
+  left join (select lang, source, sum(c)::hugeint as n from c group by all) using (lang, source)
+), p as (
+  select t.lang, t.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (t.n + 2 * t.v) as p
+  from t join k using (lang) left join c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item,
+    sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), allpairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0) as value
+  from t a join t b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value
+  from p join q using (lang, term) where c > 0 and p > q
+), r as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from allpairs union all select * from terms)
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 10
+""",
+    "op13_license_scans": licenses.SQL,
 }
