@@ -204,13 +204,23 @@ add("xml_game_records", record("p_brand as themes", **_XML))
 add("xml_game_scan", f"""select p_partkey as id, {Q} as name, (p_size + 1990) || '-03-01' as release,
   case when p_type <> 'SMALL' then 'deck' end as description, {W1} || '|' || {W2} as genres, p_brand as themes from part""")
 
-# Block keys of a text: pairs of different words, and single words if there are at most two.
-def blocks(name: str, source: str, text: str, *rest: str) -> str:
-    kept = ", ".join([text, *rest])
-    words = f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')))"
-    return f"""{name} as (select distinct {kept}, unnest(case when len(w) <= 2 then w || p else p end) as key from (
-    select *, flatten([[w[i] || ' ' || w[j] for j in range(i + 1, len(w) + 1)] for i in range(1, len(w) + 1)]) as p
-    from (select distinct {kept}, {words} as w from {source})))"""
+# The common length again, with the places of each character of one text as bits of a whole number.
+def masked(text: str) -> str:
+    """Per code from 32 to 126 the places of that character."""
+    return f"""[list_sum([case when ord(substr({text}, i, 1)) = c then 1::hugeint << (i - 1)::int else 0::hugeint end
+      for i in range(1, len({text}) + 1)])::hugeint for c in range(32, 127)]"""
+
+
+def codes(text: str) -> str:
+    return f"[ord(substr({text}, i, 1)) - 31 for i in range(1, len({text}) + 1)]"
+
+
+def bit_percent(places: str, size: str, letters: str) -> str:
+    """The score of a text with these places and size, and one with these letters."""
+    ones = f"((1::hugeint << ({size})::int) - 1)"
+    left = f"""bit_count(list_reduce(list_prepend({ones}, list_select({places}, {letters})),
+      lambda r, h: ((r + (r & h)) | (r & ~h)) & {ones}))"""
+    return f"cast(round_even(200.0 * ({size} - {left}) / ({size} + len({letters})), 0) as int)"
 
 
 CATALOGUE = f"""catalogue as (select p_partkey as entry_id, case when p_size <= 10 then {Q}
@@ -219,9 +229,9 @@ CATALOGUE = f"""catalogue as (select p_partkey as entry_id, case when p_size <=
     (p_size + 1980) || '-05-05' as release, p_size + 1980 as year from part),
   entries as (select name, release, year, min(entry_id) as entry_id from catalogue group by all),
   titles as (select {Q} as game_name, p_size + 1980 as title_year from part),
-  {blocks("tb", "titles", "game_name", "title_year")}, {blocks("nb", "catalogue", "name")},
-  met as (select distinct game_name, title_year, name from tb join nb using (key)),
-  scored as (select *, {percent('game_name', 'name')} as percent from met),
+  tb as (select *, {masked('game_name')} as places from titles),
+  nb as (select name, {codes('name')} as letters from (select distinct name from catalogue)),
+  scored as (select game_name, title_year, name, {bit_percent('places', 'len(game_name)', 'letters')} as percent from tb, nb),
   matched as (select game_name, entry_id, name, release, percent from scored join entries using (name)
     where percent > 90 or (percent > 65 and abs(year - title_year) <= 1))"""
 add("catalogue_matches", f"with {CATALOGUE} select game_name, entry_id, name, release, percent from matched")
@@ -235,9 +245,9 @@ add("tiered_match", f"""with l as (select distinct p_size + 1980 as year,
   r as (select distinct p_size + 1980 as year, array_to_string(list_sort(list_filter(
     [{W2}, {W1}, cast(p_partkey as varchar), case when p_size > 25 then '' else '2' end], lambda w: w <> '')), ' ') as right_text,
     lower(p_type) as right_developer from part),
-  {blocks("lb", "l", "left_text", "year")}, {blocks("rb", "r", "right_text", "year")},
-  texts as (select distinct year, left_text, right_text from lb join rb using (year, key)),
-  ts as (select *, {percent('left_text', 'right_text')} as percent from texts),
+  lb as (select *, {masked('left_text')} as places from (select distinct year, left_text from l)),
+  rb as (select *, {codes('right_text')} as letters from (select distinct year, right_text from r)),
+  ts as (select year, left_text, right_text, {bit_percent('places', 'len(left_text)', 'letters')} as percent from lb join rb using (year)),
   devs as (select distinct l.left_developer, r.right_developer from (select distinct left_developer from l) l, (select distinct right_developer from r) r),
   ds as (select *, {percent('left_developer', 'right_developer')} as developer_percent from devs)
   select year, left_text, right_text, percent, left_developer, right_developer, developer_percent,

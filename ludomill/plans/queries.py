@@ -337,7 +337,7 @@ def catalogue_matches(spark, folder):
 
 @query
 def catalogue_best_match(spark, folder):
-    return R.best_catalogue_match(R.match_catalogue(_dated_titles(spark, folder), _catalogue(spark, folder)))
+    return R.best_matches(_dated_titles(spark, folder), _catalogue(spark, folder))
 
 
 @query
