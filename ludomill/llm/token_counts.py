@@ -9,12 +9,16 @@ limits the truncated total grows by one token per longer document, so ``answers`
 is exact for any limit.
 
 Nulls and empty texts have length 0.  An empty table gives an empty histogram.
-Repeated rows count each.  Special-token strings in a text are ordinary text.
+Repeated rows count each.  Special-token strings in a text are ordinary text.  Long texts
+are encoded in parts, cut where the pattern ends a piece in any case; a run of more than ``RUN``
+blanks or line breaks, on which the encoder's pattern would run out of stack, is one piece by the
+pattern's own rule and goes to the encoder without it.  A part is longer only if a single word is.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +33,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Texts are encoded in parts of about this many characters, cut where the pattern always splits.
 PART = 1 << 16
+RUN = 1 << 10
+# White space as the pattern has it.
+_BLANK = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_BLANK}]{{{RUN},}}")
+# Ends of a piece whatever comes before: the end of a word, of letters before other signs, between ASCII letters and digits.
+_END = re.compile(rf"(?<=[^{_BLANK}])(?=[{_BLANK}])|(?<=[^\W\d_])(?=[\W_])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 # Lengths are summed in blocks of this many.
 BLOCK = 4096
 
@@ -42,18 +52,31 @@ def encoding(path: str):
     return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoded_length(text: str, encode) -> int:
-    """Tokens of a text; long texts in parts cut between a letter and a following blank."""
-    if len(text) <= PART:
+def _in_parts(text: str, at: int, end: int, encode) -> int:
+    total = 0
+    while at < end:
+        cut = end
+        if end - at > PART:
+            found = _END.search(text, at + PART, end)
+            cut = found.start() if found else end
+        total += len(encode(text[at:cut]))
+        at = cut
+    return total
+
+
+def encoded_length(text: str, encoder) -> int:
+    """Tokens of a text; see the top of this module for long ones."""
+    encode = encoder.encode_ordinary
+    if len(text) <= RUN:
         return len(encode(text))
     total, at = 0, 0
-    while at < len(text):
-        end = min(at + PART, len(text))
-        while end < len(text) and not (text[end] == " " and text[end - 1].isalpha() and text[end + 1 : end + 2].isalpha()):
-            end += 1
-        total += len(encode(text[at:end]))
+    for run in _RUN.finditer(text):
+        # The last blank of a run belongs to what follows.
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += _in_parts(text, at, run.start(), encode)
+        total += len(encoder._encode_single_piece(text[run.start() : end]))
         at = end
-    return total
+    return total + _in_parts(text, at, len(text), encode)
 
 
 def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "n_tokens") -> DataFrame:
@@ -61,9 +84,9 @@ def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "n
 
     @F.pandas_udf("long")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(vocabulary).encode_ordinary
+        encoder = encoding(vocabulary)
         for texts in batches:
-            yield pd.Series([encoded_length(t, encode) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([encoded_length(t, encoder) if t else 0 for t in texts], dtype="int64")
 
     return docs.withColumn(column, lengths("text"))
 

@@ -124,10 +124,32 @@ def test_token_limits(docs):
     assert [r.truncated_total for r in asked] == [sum(min(n, k) for n in lengths) for k in (0, 7, 100, 10**6)]
 
 
-def test_long_texts_are_encoded_in_parts_alike():
-    encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
-    text = "It's 12 apples,\n and  more <|endoftext|> 漢字 " * 4000
-    assert token_counts.encoded_length(text, encode) == len(encode(text))
+def test_long_texts_are_encoded_in_parts_alike(monkeypatch):
+    encoder = token_counts.encoding(token_counts.VOCABULARY)
+    texts = ["It's 12 apples,\n and  more <|endoftext|> 漢字 " * 4000, "漢字かな。" * 30000, "a1b22, c" * 20000, "é²3 x½\u0301y" * 9000]
+    for text in texts:
+        assert token_counts.encoded_length(text, encoder) == len(encoder.encode_ordinary(text))
+    rng = random.Random(4)
+    signs = ["a", "Bc", " ", "  ", "\n", "\n\n", "\t ", "1", "²", "é", "漢", "'s", "'", ".", "_", "\u0301", "\xa0", "\x1c", "\u2028", "Ⅷ", "😀"]
+    for part, run in ((1, 2), (3, 4), (7, 3)):
+        monkeypatch.setattr(token_counts, "PART", part)
+        monkeypatch.setattr(token_counts, "RUN", run)
+        monkeypatch.setattr(token_counts, "_RUN", re.compile(f"[{token_counts._BLANK}]{{{run},}}"))
+        for _ in range(400):
+            text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 40)))
+            assert token_counts.encoded_length(text, encoder) == len(encoder.encode_ordinary(text)), repr(text)
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "\t \n", "x", "1", ".", "漢"])
+def test_a_million_of_one_sign(spark, sign):
+    encoder = token_counts.encoding(token_counts.VOCABULARY)
+    text = f"word{sign * 1_000_000}end"
+    assert token_counts.encoded_length(text, encoder) > 100
+    if sign == " ":
+        rows = spark.createDataFrame([(text,), (sign * 1_000_000,)], "text string")
+        got = sorted(r.n_tokens for r in token_counts.length_histogram(rows).collect())
+        whole = len(encoder._encode_single_piece(sign * 1_000_000))
+        assert got[-1] >= whole and got[0] == whole
 
 
 # 2
