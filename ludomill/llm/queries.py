@@ -32,7 +32,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(_documents(spark, folder), with_text=False)
+    packed = packing.pack(_documents(spark, folder).select("doc_id", "text"), with_text=False)
     return packed.select("doc_id", "piece", "n_words", "bucket", "batch", "slot")
 
 

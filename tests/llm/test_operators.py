@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -322,15 +323,16 @@ def test_batches_hold_their_budget(docs):
     out = packing.pack(docs, limit=100, buckets=4, budget=450, shard_rows=8).collect()
     texts = {}
     for r in out:
-        assert 0 < r.n_words <= r.bucket <= 100 and r.n_words == len(words(r.text))
-        texts.setdefault((r.doc_id, r.n_chars), []).append(r)
+        assert 0 < r.n_words <= r.bucket <= 100 and r.n_words == len(words(r.text)) and r.n_chars == len(r.text)
+        texts.setdefault(r.doc_id, []).append(r)
     sizes = {}
     for row in awkward():
         sizes.setdefault(row[0], []).append(len(words(row[1])))
-    for (doc_id, _), pieces in texts.items():
+    for doc_id, pieces in texts.items():
         assert sum(r.n_words for r in pieces) == sum(sizes[doc_id])
-    whole = sorted(texts[(18, len(awkward()[6][1]))], key=lambda r: r.piece)
-    assert " ".join(r.text for r in whole) == awkward()[6][1]
+    for row in awkward():
+        if [r[0] for r in awkward()].count(row[0]) == 1 and words(row[1]):
+            assert "".join(r.text for r in sorted(texts[row[0]], key=lambda r: r.piece)) == row[1]
     batches = {}
     for r in out:
         batches.setdefault((r.bucket, r.batch), []).append(r.slot)
@@ -340,6 +342,41 @@ def test_batches_hold_their_budget(docs):
             assert len(slots) == 450 // bucket
 
 
+def test_pieces_keep_their_white_space(spark):
+    rng = random.Random(5)
+    for limit in (1, 2, 5, 40):
+        for _ in range(200):
+            text = "".join(rng.choice(["a", "bc", " ", "\n", "\t\n ", "é", "漢", "\xa0"]) for _ in range(rng.randrange(60)))
+            pieces = packing.text_pieces(text.encode(), limit)
+            assert b"".join(p for _, p in pieces).decode() == (text if words(text) else "")
+            assert [n for n, _ in pieces] == [len(words(p.decode())) for _, p in pieces]
+            assert all(n == limit for n, _ in pieces[:-1]) and all(0 < n <= limit for n, _ in pieces)
+    text = "\n".join(f"line\t{i} of  prose\n" for i in range(5000)) + "\n"
+    rows = spark.createDataFrame([(1, text, len(text)), (1, text[::-1], len(text))], "doc_id long, text string, n_chars long")
+    out = packing.pack(rows, limit=8192).collect()
+    ends = {r.n_chars: r.text for r in out}
+    assert len(out) == 6 and sum(len(t) == n for n, t in ends.items()) == len(ends)
+    for whole in (text, text[::-1]):
+        parts = sorted((r for r in out if r.text in whole), key=lambda r: (r.piece, r.n_chars))
+        assert "".join(r.text for r in parts) == whole
+
+
+def test_packing_of_a_very_long_text_is_bounded():
+    data = b"word " * 4_000_000
+    tracemalloc.start()
+    pieces = packing.text_pieces(data, packing.LIMIT)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in pieces) == 4_000_000 and most < 200e6
+
+
+def test_packing_reruns_agree_without_ids(spark):
+    rows = [(None, f"word{i} two three", None) for i in range(200)] + [(None, "same text here", "a")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(str, packing.pack(table.repartition(n), budget=30, shard_rows=50).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
+
+
 # 6
 
 
