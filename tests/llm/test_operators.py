@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -285,17 +286,137 @@ def test_divergence_is_jensen_shannon():
     assert math.isclose(quality.divergence(p, q[:1]), math.sqrt((kl(p / 4) + kl(q[0])) / 2))
 
 
+COMMON_EN = "the of and to in a is that for it with as was on be by at this are or from have an not what".split()
+
+
+def spoken(rng, common, names, n=200):
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(names) for _ in range(n))
+
+
 def test_prose_stays_and_symbols_go(spark):
     rng = random.Random(11)
-    common = quality.COMMON["en"]
     names = ["".join(rng.choice("aeiounrst") for _ in range(7)) for _ in range(500)]
-    clean = [" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(names) for _ in range(200)) for _ in range(40)]
+    clean = [spoken(rng, COMMON_EN, names) for _ in range(40)]
     junk = [" ".join(rng.choice(names) + "$$$%%%" for _ in range(200)) for _ in range(3)]
     rows = [(i, t, "en") for i, t in enumerate(clean + junk)]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(40)) and not any(got[i] for i in range(40, 43))
 
 
+def test_languages_come_from_the_table(spark):
+    """A fifth language, one without Latin letters, a rare one and texts without a language all stay; junk among them goes."""
+    rng = random.Random(12)
+    alphabets = {"en": "aeiounrst", "pl": "aęiłoszwy", "ru": "аеионтслвр", "th": "กขคงจชซญ"}
+    rows, clean = [], set()
+    for lang, letters in alphabets.items():
+        name = lambda k: "".join(rng.choice(letters) for _ in range(k))  # noqa: B023, E731
+        common, names = [name(3) for _ in range(25)], [name(7) for _ in range(500)]
+        for _ in range(60):
+            clean.add(len(rows))
+            rows.append((len(rows), spoken(rng, common, names), lang))
+        for label in (None, "rare"):
+            clean.add(len(rows))
+            rows.append((len(rows), spoken(rng, common, names), label))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(f"{rng.randrange(10**6)}#|$%" for _ in range(200)), lang))
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i for i, kept in got.items() if kept} == clean
+
+
+def plain_verdicts(rows, common=quality.COMMON_WORDS, least=quality.LEAST_DOCS):
+    """(text, lang) -> (char distance, word distance, kept), by dictionaries."""
+    marks = set(".,;:!?\"'()-#*$%&|<>")
+
+    def base(text):
+        w = words(text)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        times = Counter(grams)
+        covered = {i + j for i, g in enumerate(grams) if times[g] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+    def tokens(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text if c not in marks)
+        return Counter(words(low))
+
+    def kind(c):
+        b = ord(c)
+        if b > 127:
+            return 7 + (b > 0x7FF) + (b > 0xFFFF)
+        groups = [c.isascii() and c.islower(), c.isupper(), c.isdigit(), c in " \t\n\r\x0b\x0c", c in ".,;:!?\"'()-", c in "#*$%&|<>"]
+        return next((i for i, g in enumerate(groups) if g), 6)
+
+    def share(counts):
+        total = max(sum(counts.values()), 1)
+        return {k: round(n * 1e6 / total) for k, n in counts.items()}
+
+    langs = {}
+    for text, lang in rows:
+        if lang is not None and text is not None and not base(text):
+            langs.setdefault(lang, []).append(text)
+    langs = {lang: texts for lang, texts in langs.items() if len(texts) >= least}
+    char_refs, word_refs, slots = {}, {}, set()
+    for lang, texts in langs.items():
+        chars, shares, seen, full = Counter(), Counter(), Counter(), 0
+        for t in texts:
+            chars.update(share(Counter(map(kind, t))))
+            shares.update(share(tokens(t)))
+            seen.update(tokens(t).keys())
+            full += 10**6 if tokens(t) else 0
+        char_refs[lang], word_refs[lang] = chars, (shares, full)
+        slots |= set(sorted(seen, key=lambda w: (-seen[w], w.encode()))[:common])
+
+    def distance(counts, reference):
+        p, q = sum(counts.values()), sum(reference.values())
+        total = 0.0
+        for k in counts.keys() | reference.keys():
+            x, y = counts.get(k, 0) / p, reference.get(k, 0) / q
+            total += sum(z * math.log2(2 * z / (x + y)) for z in (x, y) if z > 0) / 2
+        return math.sqrt(max(total, 0))
+
+    def folded(counts, total):
+        kept = {w: n for w, n in counts.items() if w in slots}
+        return {**kept, None: max(total - sum(kept.values()), 0)}
+
+    out = {}
+    for text, lang in rows:
+        by_char = by_word = 0.0
+        if lang in langs:
+            chars, found = Counter(map(kind, text or "")), tokens(text or "")
+            if chars.total() >= quality.MIN_CHARS:
+                by_char = min(distance(chars, char_refs[x]) for x in langs)
+            if found.total() >= quality.MIN_WORDS:
+                mine = folded(found, found.total())
+                by_word = min(distance(mine, folded(*word_refs[x])) for x in langs)
+        kept = not base(text) and by_char <= quality.MAX_CHAR_DISTANCE and by_word <= quality.MAX_WORD_DISTANCE
+        out[(text, lang)] = (by_char, by_word, kept)
+    return out
+
+
+def test_verdicts_against_brute_force(spark, folder):
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(r[0], r[1], r[2]) for r in awkward() if len(r[1] or "") < 20000]
+    table = table.union(spark.createDataFrame(odd, table.schema))
+    rows = [(r.text, r.lang) for r in table.collect()]
+    truth = plain_verdicts(rows)
+    judged = quality.judge(table).collect()
+    assert len(judged) == len(rows) and any(v[1] for v in truth.values()) and not all(v[2] for v in truth.values())
+    for r in judged:
+        by_char, by_word, kept = truth[(r.text, r.lang)]
+        assert math.isclose(r.char_distance, by_char, abs_tol=1e-6) and math.isclose(r.word_distance, by_word, abs_tol=1e-6)
+        assert r.kept == kept
+
+
+def test_windows_of_long_texts(monkeypatch):
+    rng = random.Random(14)
+    for n in (3, 10, 80):
+        for _ in range(60):
+            w = [b"abcdefg"[i : i + 1] * (i % 2 + 1) for i in (rng.randrange(7) for _ in range(n))]
+            monkeypatch.setattr(quality, "LONG", 10**9)
+            short = quality.repeated_words(w)
+            monkeypatch.setattr(quality, "LONG", 2)
+            assert quality.repeated_words(w) == short
+
+
 # 5
 
 
