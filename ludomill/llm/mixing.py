@@ -12,7 +12,7 @@ Ranks within a source never need one task per source: a source is cut by size,
 each size by a salt of 12 bits, and offsets are summed over these cells.
 
 Nulls: a null text has size 0, a null source is a source of its own (last), a
-null id sorts as the empty text.  Empty tables give empty results.  Repeated
+null id sorts as the empty text, rows of one id by a hash of their text.  Empty tables give empty results.  Repeated
 rows are documents of their own.  Other columns are carried along; helper
 columns are named ``_mix_*`` and are gone from the result.
 """
@@ -90,7 +90,8 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
             (F.col("_mix_before") + F.col("_mix_smaller")).alias("_mix_before"),
         )
     )
-    place = F.row_number().over(Window.partitionBy(*_CELL).orderBy("_mix_name", "doc_id"))
+    # Different texts without an id, or with one, have an order of their own, so reruns agree.
+    place = F.row_number().over(Window.partitionBy(*_CELL).orderBy("_mix_name", "doc_id", F.xxhash64("text")))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_mix_key")).cast("binary")), 1, 8), 16, 10)
     start = unit.cast("double") / F.lit(4294967296.0)
     each = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0))
