@@ -87,6 +87,33 @@ def test_best_items_in_blocks(spark, monkeypatch, measure, block):
     assert {(r.query_id, r.rank, r.item_id) for r in found} == expected
 
 
+@pytest.mark.parametrize("measure", ["cosine", "dot"])
+def test_few_blocks_are_visited(spark, measure):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12)) * 4
+    items = np.concatenate([c + rng.normal(size=(50, 12)) * 0.05 for c in centres])
+    asked = centres[rng.integers(40, size=60)] + rng.normal(size=(60, 12)) * 0.05
+    tables = [
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"{name} long, vector array<double>")
+        for rows, name in ((asked, "query_id"), (items, "item_id"))
+    ]
+    visits = []
+    found = V.best_items(*tables, 5, measure, block_rows=50, visits=visits).collect()
+    scores = asked @ items.T
+    if measure == "cosine":
+        scores = scores / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(items, axis=1)
+    expected = {(q, k + 1, i) for q in range(60) for k, i in enumerate(sorted(range(2000), key=lambda i: (-round(scores[q, i], 6), i))[:5])}
+    assert {(r.query_id, r.rank, r.item_id) for r in found} == expected
+    assert sum(visits) < 0.5 * 60 * 40
+
+
+def test_search_without_items_or_queries(spark):
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<double>")
+    none = spark.createDataFrame([], "item_id long, vector array<double>")
+    assert V.best_items(some, none).collect() == []
+    assert V.best_items(none.withColumnRenamed("item_id", "query_id"), some.withColumnRenamed("query_id", "item_id")).collect() == []
+
+
 def test_reward_model_recovers_a_plane(spark):
     rng = np.random.default_rng(0)
     rows = [(s.tolist(), a.tolist(), float(1 + 2 * s[0] - a[1])) for s, a in zip(rng.random((200, 2)), rng.random((200, 2)))]
