@@ -4,28 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ludomill.operators.company import mean_vectors, word_vectors
 from ludomill.operators.ordered import in_chunks, last_per_key, totals_before
 from ludomill.session import settle
 
 # Fixed values.
 FACTORS = 32
 WORD_WIDTH = 128
-SEED = 42
 SENTENCE_WORDS = 1000
 
 # Subspace iteration: further columns kept beside the wanted ones, and rounds.
 EXTRA = 8
 ROUNDS = 5
-# Words and games are hashed to so many places before training, which bounds what the trainer holds on the driver:
-# two arrays of places x width single-precision numbers.
-PLACES = 1 << 16
-# Parts trained side by side; fixed, for the vectors depend on it.
-PARTS = 8
 
 
 def _sum_product(rows: DataFrame, key: str, width: int) -> DataFrame:
@@ -125,34 +118,10 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _places(words: Column | str) -> Column:
-    """Words as texts of their hashed places."""
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("string"))
-
-
-def _word_model(sentences: DataFrame, width: int, iterations: int) -> Word2VecModel:
-    """Train on ``places``: every word counts, those that share a place share a vector."""
-    return Word2Vec(
-        vectorSize=width,
-        minCount=1,
-        numPartitions=PARTS,
-        maxIter=iterations,
-        seed=SEED,
-        maxSentenceLength=SENTENCE_WORDS,
-        inputCol="places",
-        outputCol="_mean",
-    ).fit(sentences)
-
-
-def description_vectors(
-    texts: DataFrame, key: str, text: str, width: int = WORD_WIDTH, iterations: int = 1
-) -> DataFrame:
-    """``key, vector, n_words``: the mean word vector of each whole text, trained on the same texts."""
-    tokenised = texts.select(key, _places(F.coalesce(words(text), F.array().cast("array<string>"))).alias("places"))
-    model = _word_model(tokenised, width, iterations)
-    return model.transform(tokenised).select(
-        key, vector_to_array("_mean").alias("vector"), F.size("places").alias("n_words")
-    )
+def description_vectors(texts: DataFrame, key: str, text: str, width: int = WORD_WIDTH) -> DataFrame:
+    """``key, vector, n_words``: the mean word vector of each whole text, learned from the same texts."""
+    tokenised = settle(texts.select(key, F.coalesce(words(text), F.array().cast("array<string>")).alias("words")))
+    return mean_vectors(tokenised, settle(word_vectors(tokenised, width)), key, width)
 
 
 def play_sentences(reviews: DataFrame) -> DataFrame:
@@ -170,10 +139,12 @@ def play_sentences(reviews: DataFrame) -> DataFrame:
     return grouped.select("user_id", "part", F.transform("games", lambda g: g["game"]).alias("words"))
 
 
-def title_vectors(reviews: DataFrame, width: int = WORD_WIDTH, iterations: int = 1) -> DataFrame:
-    """One vector per game from the company it keeps in play histories: ``game_id, vector``."""
-    sentences = play_sentences(reviews).select(_places("words").alias("places"))
-    model = _word_model(sentences, width, iterations)
+def title_vectors(reviews: DataFrame, width: int = WORD_WIDTH) -> DataFrame:
+    """One vector per game from the company it keeps in play histories: ``game_id, vector``.
+
+    A game that keeps no company beyond chance has a vector of zeros.
+    """
+    vectors = word_vectors(settle(play_sentences(reviews).select("words")), width)
     games = reviews.na.drop("any", subset=["user_id", "game_id"]).select("game_id").distinct()
-    placed = games.withColumn("word", _places(F.array(F.col("game_id").cast("string")))[0])
-    return placed.join(model.getVectors(), "word").select("game_id", vector_to_array("vector").alias("vector"))
+    found = games.withColumn("word", F.col("game_id").cast("string")).join(vectors, "word", "left")
+    return found.select("game_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), width)).alias("vector"))

@@ -287,6 +287,23 @@ add("description_word2vec", r"""select doc_id, 128 as width, cast(len(regexp_ext
   cast(1 as bigint) as vectors, false as has_nan from documents""")
 add("title_item2vec", f"with {REVIEWS} select distinct game_id, 128 as width, false as has_nan from reviews")
 add("feature_vector", f"with {GAMES} select game_id, 324 as width, false as has_nan from games")
+COMPANY = f"""{REVIEWS}, t as (select user_id, cast(game_id as varchar) as word,
+    row_number() over (partition by user_id order by ts, review_id) - 1 as i from reviews),
+  contexts as (select word as context from t group by 1 order by count(*) desc, 1 limit 1024),
+  company as (select a.word, b.word as context, count(*)::bigint as times from t a join t b on a.user_id = b.user_id
+    and a.i <> b.i and abs(a.i - b.i) <= 5 and a.i // 1000 = b.i // 1000 where b.word in (select context from contexts) group by all),
+  cells as (select word, context, ln(times::double * (select sum(times)::double from company)
+    / (sum(times) over (partition by word)::double * sum(times) over (partition by context)::double)) - ln(5.0::double) as value from company)"""
+add("title_company", f"with {COMPANY} select word, context, times from company")
+add("title_information", f"with {COMPANY} select word, context, round(value, 6) as value from cells where value > 0")
+add("title_factors", f"""with {COMPANY} select (select count(*) from contexts)::int as contexts, true as solved, true as orthonormal,
+  round(sum(value * value), 3) as squares from cells where value > 0""")
+add("word_company", r"""with d as (select row_number() over () as row, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as l from documents),
+  t as (select row, unnest(range(len(l))) as i, unnest(l) as word from d),
+  contexts as (select word from t group by 1 order by count(*) desc, 1 limit 1024),
+  near as (select b.word as context, a.word from t b join t a on a.row = b.row and a.i between b.i - 5 and b.i + 5 and a.i <> b.i
+    where b.word in (select word from contexts))
+  select context, count(distinct word) as words, count(*)::bigint as times from near group by 1""")
 add("play_sentences", f"""with {REVIEWS} select user_id, cast(0 as bigint) as part,
   string_agg(cast(game_id as varchar), '|' order by ts, review_id) as games from reviews group by 1""")
 add("feature_vector_fixed_parts", f"""with {REVIEWS}, {GAMES},

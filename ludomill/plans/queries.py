@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludomill.functions import scalars as S
 from ludomill.functions import text as X
+from ludomill.operators import company as W
 from ludomill.operators import embeddings as E
 from ludomill.operators import evaluate as V
 from ludomill.operators import features as Z
@@ -460,6 +462,54 @@ def title_item2vec(spark, folder):
     return vectors.select("game_id", F.size("vector").alias("width"), F.exists("vector", F.isnan).alias("has_nan"))
 
 
+def _title_company(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    sentences = settle(E.play_sentences(T.event_reviews(spark, folder)).select("words"))
+    contexts = W.frequent_words(sentences, W.CONTEXTS)
+    return settle(W.company_counts(sentences, contexts)), contexts
+
+
+@query
+def title_company(spark, folder):
+    """How often two games stand near each other in a play history."""
+    counts, contexts = _title_company(spark, folder)
+    names = spark.createDataFrame(list(enumerate(contexts)), "place int, context string")
+    return counts.join(F.broadcast(names), "place").select("word", "context", "times")
+
+
+@query
+def title_information(spark, folder):
+    """How much more often than by chance."""
+    counts, contexts = _title_company(spark, folder)
+    names = spark.createDataFrame(list(enumerate(contexts)), "place int, context string")
+    cells = W.information(counts).join(F.broadcast(names), "place")
+    return cells.select("word", "context", rounded("value", 6).alias("value"))
+
+
+@query
+def title_factors(spark, folder):
+    """All factors of that matrix: they solve their equation, are orthonormal, and their squares add up to those of its entries."""
+    counts, contexts = _title_company(spark, folder)
+    rows = settle(W.matrix_rows(W.information(counts)))
+    values, vectors, residual = W.leading_factors(rows, len(contexts), len(contexts))
+    square = float(abs(vectors.T @ vectors - np.eye(len(values))).max())
+    return spark.range(1).select(
+        F.lit(len(contexts)).alias("contexts"),
+        F.lit(residual < 1e-9).alias("solved"),
+        F.lit(square < 1e-9).alias("orthonormal"),
+        F.round(F.lit(float((values**2).sum())), 3).alias("squares"),
+    )
+
+
+@query
+def word_company(spark, folder):
+    """Per frequent word of the documents: the words within five places of it, and how often."""
+    tokenised = settle(T.table(spark, folder, "documents").select(F.coalesce(E.words("text"), F.array().cast("array<string>")).alias("words")))
+    contexts = W.frequent_words(tokenised, W.CONTEXTS)
+    counts = W.company_counts(tokenised, contexts).groupBy("place").agg(F.count("*").alias("words"), F.sum("times").alias("times"))
+    names = spark.createDataFrame(list(enumerate(contexts)), "place int, context string")
+    return counts.join(F.broadcast(names), "place").select("context", "words", "times")
+
+
 @query
 def play_sentences(spark, folder):
     sentences = E.play_sentences(T.event_reviews(spark, folder))
