@@ -56,7 +56,7 @@ add("review_concat_lists", f"with {REVIEWS} select distinct 'user' || user_id as
 add("profile_pages", f"""with {REVIEWS} select 'user' || user_id as author, rating as score,
   cast(game_id as varchar) as game_name, cast(review_id as varchar) as date, 'game-title' as type,
   event_type as platform from reviews
-  where user_id in (select user_id from reviews group by 1 having count(*) >= 60)""")
+  where user_id in (select user_id from reviews group by 1 having count(*) >= 3)""")
 add("page_completeness", f"""with {REVIEWS} select 'user' || user_id as author, count(*) as total_results,
   count(*) filter (where event_type <> 'view') as landed from reviews group by user_id
   having count(*) filter (where event_type = 'view') > 0""")
@@ -404,7 +404,8 @@ add("top_recommendations", f"""with {REVIEWS}, {GAMES}, {KNOWN}, {VOCAB.format('
   select user_id as query_id, cast(row_number() over (partition by user_id order by score desc, game_id) as int) as rank,
   game_id as item_id, score from u qualify rank <= 5""")
 add("recommendation_filters", f"""with {GAMES} select game_id, release_year from games where release_year >= 2000
-  and platform in ('LARGE', 'SMALL') and list_has_any(genres, ['blue', 'hot']) and developer = 'Brand#2'""")
+  and platform in ('LARGE', 'SMALL') and list_has_any(genres, ['blue', 'hot']) and developer = 'Brand#2'
+  and game_id % 2 = 0""")
 add("unplayed_games", f"""with {REVIEWS}, {ORDERED} select distinct user_id, game_id from ordered
   except select user_id, game_id from reviews""")
 

@@ -89,7 +89,7 @@ def profile_pages(spark, folder):
     """Profile pages of up to 20 reviews, landed per user, read back as feed B."""
     pages = _profile_pages(spark, folder)
     authors = pages.select("author").distinct()
-    return C.profile_reviews(pages, authors, at_least=60)
+    return C.profile_reviews(pages, authors)
 
 
 @query
@@ -745,9 +745,17 @@ def top_recommendations(spark, folder):
 @query
 def recommendation_filters(spark, folder):
     games = T.games(spark, folder).select(
-        "game_id", "genres", "release_year", F.array("platform").alias("platforms"), F.array("developer").alias("developers")
+        "game_id",
+        "genres",
+        "release_year",
+        F.array("platform").alias("platforms"),
+        F.array("developer").alias("developers"),
+        # Titles of an even number can be played alone or together, the others together only.
+        F.when(F.col("game_id") % 2 == 0, F.array(F.lit("Single player"), F.lit("Multiplayer")))
+        .otherwise(F.array(F.lit("Multiplayer")))
+        .alias("game_modes"),
     )
-    kept = V.matching_games(games, 2000, ["LARGE", "SMALL"], ["blue", "hot"], "Brand#2")
+    kept = V.matching_games(games, 2000, ["LARGE", "SMALL"], ["blue", "hot"], "Brand#2", "Single player")
     return kept.select("game_id", "release_year")
 
 
@@ -850,15 +858,15 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_dedupe(spark, folder):
-    """The newer half of the events lands first, then all of them: late ones count, repeated ones do not."""
+    """Three restarts: the middle third of the events, all but the oldest, all of them; late ones count, repeated ones do not."""
     events = T.table(spark, folder, "events")
-    middle = events.select(F.percentile_approx("ts", 0.5)).scalar()
+    low, high = events.select(F.percentile_approx("ts", [1 / 3, 2 / 3])).first()[0]
     base = fresh_folder(spark, "stream-dedupe")
     landing, table = os.path.join(base, "landing"), os.path.join(base, "table")
-    for rows in (events.filter(F.col("ts") > middle), events):
+    for rows in (events.filter((F.col("ts") > low) & (F.col("ts") <= high)), events.filter(F.col("ts") > low), events):
         rows.coalesce(1).write.mode("append").parquet(landing)
         stream = I.landed_stream(spark, landing, EVENTS, files_per_batch=1)
-        I.unseen_run(stream, table, os.path.join(base, "checkpoint"), ["event_id"], ["ts"], 8).awaitTermination()
+        I.unseen_run(stream, table, os.path.join(base, "checkpoint"), ["event_id"], ["ts"]).awaitTermination()
     return spark.read.parquet(table).select("event_id", "user_id", "event_type", "value")
 
 

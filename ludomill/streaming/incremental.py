@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ludomill.operators.ordered import first_per_key, last_per_key
+from ludomill.operators.ordered import last_per_key
 from ludomill.session import fresh_folder
 
 # Pause between runs and titles per flush of the periodic job.
@@ -26,32 +28,61 @@ def landed_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def append_unseen(batch: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
-    """Append the rows of a micro-batch whose key the table does not hold yet; of equal keys the first by ``order``.
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key pass, by ``order`` within a batch, and remembers the key for good."""
 
-    The table itself is the memory, so a key is never forgotten and a late row
-    is never lost.  It is partitioned by a hash of the key, and only the
-    buckets a batch touches are read.  A replayed batch adds nothing.
+    def __init__(self, order: list[str]) -> None:
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            # Missing values come first.
+            yield min(rows, key=lambda row: [(row[c] is not None, row[c]) if row[c] is not None else (False,) for c in self.order])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(stream: DataFrame, keys: list[str], order: list[str], held: DataFrame | None = None) -> DataFrame:
+    """The rows of a stream whose key was never seen before; of equal keys in a batch the first by ``order``.
+
+    The keys are state of the stream, one value each in the state store, without a time limit: a late row counts and
+    no key is forgotten.  A batch costs what the batch holds, whatever was seen.  ``held`` fills the state before the
+    first batch of a new checkpoint.
     """
-    spark = batch.sparkSession
-    fresh = first_per_key(batch, keys, order).withColumn("bucket", _bucket(keys, buckets))
-    if _exists(spark, path):
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
-        touched = [row.bucket for row in fresh.select("bucket").distinct().collect()]
-        held = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(touched))
-        fresh = fresh.join(held.select(*keys, "bucket"), [*keys, "bucket"], "left_anti")
-    fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    first = None if held is None else held.select(*keys).distinct().groupBy(*keys)
+    return stream.groupBy(*keys).transformWithState(
+        FirstSeen(order), outputStructType=stream.schema, outputMode="append", timeMode="none", initialState=first
+    )
 
 
-def unseen_run(
-    stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64
-) -> StreamingQuery:
-    """Run a stream into :func:`append_unseen` until all that has landed is in."""
+def unseen_run(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """Append the unseen rows of a stream to a table until all that has landed is in.
+
+    The table is read once, when the checkpoint is new, to know the keys it holds.  Every batch is a partition
+    of its own (``batch``), so a replayed batch writes the same rows in the same place.
+    """
+    spark = stream.sparkSession
+    held = None
+    if _exists(spark, path) and not _exists(spark, checkpoint):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+        held = spark.read.schema(schema).parquet(path)
+    label = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        append_unseen(batch, path, keys, order, buckets)
+        named = batch.withColumn("batch", F.lit(f"{label}-{batch_id}"))
+        named.write.mode("overwrite").partitionBy("batch").option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = unseen(stream, keys, order, held)
+    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, periodic: bool = False) -> StreamingQuery:

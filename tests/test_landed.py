@@ -111,7 +111,7 @@ def test_replayed_files_add_nothing(spark, tmp_path):
     for _ in range(3):
         rows.coalesce(1).write.mode("append").parquet(landing)
         stream = I.landed_stream(spark, landing, schema, files_per_batch=1)
-        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"], 4).awaitTermination()
+        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"]).awaitTermination()
     assert spark.read.parquet(table).count() == 50
 
 
@@ -123,7 +123,7 @@ def test_late_rows_and_old_keys(spark, tmp_path):
         rows = spark.range(low, high).select("id", F.timestamp_seconds(F.col("id") * 86_400 + base).alias("ts"))
         rows.coalesce(1).write.mode("append").parquet(landing)
         stream = I.landed_stream(spark, landing, schema, files_per_batch=1)
-        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"], 4).awaitTermination()
+        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"]).awaitTermination()
 
     land(500, 560, 1_700_000_000)
     land(0, 50, 1_000_000_000)  # never seen, decades late
@@ -131,6 +131,31 @@ def test_late_rows_and_old_keys(spark, tmp_path):
     assert spark.read.parquet(table).count() == 110
 
 
+def test_keys_are_state_and_not_read_from_the_table(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, ts long, body string"
+
+    def land(rows, checkpoint=checkpoint):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = I.landed_stream(spark, landing, schema, files_per_batch=1)
+        I.unseen_run(stream, table, checkpoint, ["id"], ["ts"]).awaitTermination()
+
+    def state():
+        return sorted((r.id is None, r.id or 0, r.body) for r in spark.read.parquet(table).collect())
+
+    # The first row of a key by time; a missing key is a key.
+    land([(1, 5, "b"), (1, 3, "a"), (2, 9, "c"), (None, 1, "n"), (None, 2, "o")])
+    assert state() == [(False, 1, "a"), (False, 2, "c"), (True, 0, "n")]
+    # With the table gone the keys are still known: no batch reads it.
+    os.rename(table, f"{table}-elsewhere")
+    land([(1, 0, "z"), (3, 1, "d"), (None, 0, "z")])
+    assert state() == [(False, 3, "d")]
+    # A new checkpoint is filled from the table, which now lacks the rows that were moved.
+    land([(4, 1, "e"), (3, 1, "z")], f"{checkpoint}-new")
+    assert [b for _, i, b in state() if i == 3] == ["d"]
+    assert {b for _, _, b in state()} == {"a", "c", "d", "e", "n"}
+
+
 def test_settled_tables_can_be_dropped(spark):
     rows = J.settle(spark.range(5))
     folder = J.shared_folder(spark).removeprefix("file:")
