@@ -255,6 +255,25 @@ add("tiered_match", f"""with l as (select distinct p_size + 1980 as year,
   from l join r using (year) join ts using (year, left_text, right_text) join ds using (left_developer, right_developer)
   where percent > 90 or (percent >= 70 and developer_percent > 90)""")
 
+add("game_entities", f"""with recursive entries as (
+    select p_partkey * 2 as entry_id, p_size + 1980 as year, array_to_string(list_sort(string_split({Q}, ' ')), ' ') as text,
+      lower(p_type) as developer from part
+    union all select p_partkey * 2 + 1, p_size + 1980, array_to_string(list_sort(list_filter(
+      [{W2}, {W1}, cast(p_partkey as varchar), case when p_size > 25 then '' else '2' end], lambda w: w <> '')), ' '), lower(p_type) from part),
+  texts as (select *, {masked('text')} as places, {codes('text')} as letters from (select distinct year, text from entries)),
+  ts as (select a.year, a.text as left_text, b.text as right_text, {bit_percent('a.places', 'len(a.text)', 'b.letters')} as percent
+    from texts a join texts b on a.year = b.year),
+  devs as (select distinct developer from entries),
+  ds as (select a.developer as left_developer, b.developer as right_developer, {percent('a.developer', 'b.developer')} as developer_percent
+    from devs a, devs b),
+  links as (select distinct a.entry_id as a, b.entry_id as b from ts join entries a on a.year = ts.year and a.text = ts.left_text
+    join entries b on b.year = ts.year and b.text = ts.right_text
+    join ds on ds.left_developer = a.developer and ds.right_developer = b.developer
+    where percent > 90 or (percent >= 70 and developer_percent > 90)),
+  reached as (select entry_id, entry_id as other from entries union select r.entry_id, l.b from reached r join links l on l.a = r.other),
+  roots as (select entry_id, min(other) as entity_id from reached group by 1)
+  select entry_id, entity_id, count(*) over (partition by entity_id) as entity_size from roots""")
+
 # --- features --------------------------------------------------------------
 
 add("genre_vocab", f"with {GAMES} select label, count(*) as n from (select unnest(genres) as label from games) group by 1")

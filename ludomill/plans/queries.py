@@ -342,16 +342,29 @@ def catalogue_best_match(spark, folder):
     return R.best_matches(_dated_titles(spark, folder), _catalogue(spark, folder))
 
 
-@query
-def tiered_match(spark, folder):
+def _two_catalogues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as two catalogues spell them: entry_id, title, developer, release_year."""
     parts = T.looked_up(spark, folder)
     year = (F.col("p_size") + 1980).alias("release_year")
-    left = parts.select(F.col("query_name").alias("title"), F.col("p_type").alias("developer"), year)
+    key = F.col("p_partkey") * 2
+    left = parts.select(key.alias("entry_id"), F.col("query_name").alias("title"), F.col("p_type").alias("developer"), year)
     name = F.split("query_name", " ")
     end = F.when(F.col("p_size") > 25, "").otherwise(" II")
     title = F.concat(name[1], F.lit(", "), F.upper(name[0]), F.lit(" "), name[2], end)
-    right = parts.select(title.alias("title"), F.initcap("p_type").alias("developer"), year)
-    return R.tiered_matches(left, right)
+    right = parts.select((key + 1).alias("entry_id"), title.alias("title"), F.initcap("p_type").alias("developer"), year)
+    return left, right
+
+
+@query
+def tiered_match(spark, folder):
+    return R.tiered_matches(*_two_catalogues(spark, folder))
+
+
+@query
+def game_entities(spark, folder):
+    """One id for what two catalogues tell of a game, whatever the chain of titles between them."""
+    left, right = _two_catalogues(spark, folder)
+    return R.game_entities(left.union(right))
 
 
 # --- features --------------------------------------------------------------
