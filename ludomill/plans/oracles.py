@@ -400,6 +400,16 @@ add("ips_value", f"""with {LOGGED}, {POLICY}, {OUTCOMES}, w as (select n, r, coa
   select round(sum(w * r) / sum(n), 6) as ips_value, round(sum(w * r) / sum(w * n), 6) as snips_value from w""")
 add("direct_value", f"""with {LOGGED}, {POLICY}, {OUTCOMES} select round(sum(probability * m), 6) as direct_value
   from outcomes join policy using (game_id)""")
+add("state_policies", f"""with {REVIEWS}, {GAMES}, {KNOWN}, {POLICY},
+  k as (select user_id, ts, review_id, (rating - 5) / 5 as reward, case when platform = 'LARGE' then 1 else 0 end as a
+    from reviews join known using (game_id)),
+  steps as (select a, reward, coalesce(max(a) over (partition by user_id order by ts, review_id
+    rows between unbounded preceding and 1 preceding), 0) as s from k),
+  m as (select s, max(avg(reward)) over (partition by s) as best, a, avg(reward) as m from steps group by s, a),
+  p as (select sum(probability) filter (where platform = 'LARGE') as share from policy join known using (game_id)),
+  c as (select s, any_value(best) as best, sum(m * case when a = 1 then share else 1 - share end) as mean from m, p group by s)
+  select 'greedy' as policy, round(avg(best), 5) as direct_value from steps join c using (s)
+  union all select 'critics', round(avg(mean), 5) from steps join c using (s)""")
 add("logged_policy", f"""with {LOGGED} select game_id, round(count(*) / (select count(*) from logged), 9) as probability
   from logged group by 1""")
 add("action_scaling", f"""with {GAMES}, {KNOWN}, {VOCAB.format('known')} select game_id, cast(place as int) as dim,

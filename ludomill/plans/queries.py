@@ -717,6 +717,20 @@ def direct_value(spark, folder):
     return values.select(rounded("direct_value", 6).alias("direct_value"))
 
 
+@query
+def state_policies(spark, folder):
+    """Values of the greedy and of the critics' policy over states: has the user played a game of a large publisher before?"""
+    large = F.when(F.col("platform") == "LARGE", 1.0).otherwise(0.0)
+    games = settle(T.catalogued_games(spark, folder).select("game_id", F.array(large).alias("vector")))
+    rows = M.transitions(T.event_reviews(spark, folder), games, 1)
+    known = F.array(F.when(F.get("observation", F.lit(0)) > 0, 1.0).otherwise(0.0))
+    rows = settle(rows.select(known.alias("observation"), "action", "reward"))
+    model = V.fit_interactions(rows)
+    greedy = V.greedy_value(model, rows, games).select(F.lit("greedy").alias("policy"), "direct_value")
+    critics = V.state_value(model, rows, games, _critic_policy(spark, folder)).select(F.lit("critics").alias("policy"), "direct_value")
+    return greedy.union(critics).select("policy", rounded("direct_value", 5).alias("direct_value"))
+
+
 @query
 def logged_policy(spark, folder):
     shares = V.frequency_policy(_logged(spark, folder))

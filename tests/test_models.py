@@ -126,6 +126,44 @@ def test_reward_model_recovers_a_plane(spark):
     assert V.policy_value(model, inputs).first().direct_value == pytest.approx(mean, abs=1e-6)
 
 
+def test_policies_over_states(spark):
+    rng = np.random.default_rng(4)
+    cross = np.array([[1.0, -2.0], [0.5, 0.0], [-1.0, 3.0]])
+
+    def reward(s, a):
+        return 0.3 + s @ [1.0, 0.0, -0.5] + a @ [0.2, -0.1] + s @ cross @ a
+
+    states, acts = rng.random((300, 3)), rng.random((300, 2))
+    rows = [(s.tolist(), a.tolist(), float(reward(s, a))) for s, a in zip(states, acts)] + [(None, [0.0, 0.0], 1.0)]
+    frame = spark.createDataFrame(rows, "observation array<double>, action array<double>, reward double").repartition(3)
+    model = V.fit_interactions(frame)
+    assert np.allclose(model.cross, cross) and np.allclose(model.action, [0.2, -0.1]) and model.constant == pytest.approx(0.3)
+    games = rng.random((40, 2))
+    games[7] = games[3]
+    actions = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(games)], "game_id long, vector array<double>")
+    some = spark.createDataFrame([(s.tolist(),) for s in np.concatenate([states[:50], states[:9]])], "observation array<double>")
+    chosen = {tuple(r.state): r for r in V.greedy_policy(model, some, actions).collect()}
+    assert len(chosen) == 50 and sum(r.n for r in chosen.values()) == 59
+    for s in states[:50]:
+        scores = [reward(s, g) for g in games]
+        best = min(range(40), key=lambda i: (-round(scores[i] - reward(s, np.zeros(2)), 6), i))
+        assert chosen[tuple(s)].game_id == best and chosen[tuple(s)].value == pytest.approx(max(scores), abs=2e-6)
+    asked = np.concatenate([states[:50], states[:9]])
+    value = V.greedy_value(model, some, actions).first().direct_value
+    assert value == pytest.approx(np.mean([max(reward(s, g) for g in games) for s in asked]), abs=2e-6)
+    shares = rng.random(40)
+    shares /= shares.sum()
+    policy = spark.createDataFrame([(i, float(p)) for i, p in enumerate(shares)], "game_id long, probability double")
+    value = V.state_value(model, some, actions, policy).first().direct_value
+    assert value == pytest.approx(np.mean([sum(p * reward(s, g) for p, g in zip(shares, games)) for s in asked]))
+
+
+def test_products_that_depend_on_each_other(spark):
+    rows = [([float(i % 2)], [float(i % 2)], float(i % 2)) for i in range(8)]
+    model = V.fit_interactions(spark.createDataFrame(rows, "observation array<double>, action array<double>, reward double"))
+    assert model.constant + model.state[0] + model.action[0] + model.cross[0, 0] == pytest.approx(1) and model.constant == pytest.approx(0, abs=1e-9)
+
+
 def test_the_logging_policy_has_the_logged_value(spark):
     log = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, -1.0), (3, 0.5)], "game_id long, reward double")
     policy = V.frequency_policy(log)
