@@ -190,10 +190,12 @@ def row_vectors(rows: DataFrame, values: np.ndarray, vectors: np.ndarray, width:
     return rows.mapInArrow(project, "word string, vector array<double>")
 
 
-def word_vectors(sentences: DataFrame, width: int, contexts: int = CONTEXTS, window: int = WINDOW) -> DataFrame:
+def word_vectors(
+    sentences: DataFrame, width: int, contexts: int = CONTEXTS, window: int = WINDOW, shift: float = SHIFT
+) -> DataFrame:
     """word, vector of every word that keeps more than chance company; ``sentences``: words (array of text)."""
     known = frequent_words(sentences, contexts)
-    rows = settle(matrix_rows(information(settle(company_counts(sentences, known, window)))))
+    rows = settle(matrix_rows(information(settle(company_counts(sentences, known, window)), shift)))
     if rows.isEmpty():
         return rows.select("word", F.array_repeat(F.lit(0.0), width).alias("vector"))
     values, vectors, _ = leading_factors(rows, len(known), width)

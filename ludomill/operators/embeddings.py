@@ -16,6 +16,9 @@ FACTORS = 32
 WORD_WIDTH = 128
 SENTENCE_WORDS = 1000
 
+# Histories have fewer kinds of company than language; what is above chance counts in full.
+TITLE_SHIFT = 1.0
+
 # Subspace iteration: further columns kept beside the wanted ones, and rounds.
 EXTRA = 8
 ROUNDS = 5
@@ -144,7 +147,7 @@ def title_vectors(reviews: DataFrame, width: int = WORD_WIDTH) -> DataFrame:
 
     A game that keeps no company beyond chance has a vector of zeros.
     """
-    vectors = word_vectors(settle(play_sentences(reviews).select("words")), width)
+    vectors = word_vectors(settle(play_sentences(reviews).select("words")), width, shift=TITLE_SHIFT)
     games = reviews.na.drop("any", subset=["user_id", "game_id"]).select("game_id").distinct()
     found = games.withColumn("word", F.col("game_id").cast("string")).join(vectors, "word", "left")
     return found.select("game_id", F.coalesce("vector", F.array_repeat(F.lit(0.0), width)).alias("vector"))

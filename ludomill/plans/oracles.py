@@ -312,7 +312,7 @@ COMPANY = f"""{REVIEWS}, t as (select user_id, cast(game_id as varchar) as word,
   company as (select a.word, b.word as context, count(*)::bigint as times from t a join t b on a.user_id = b.user_id
     and a.i <> b.i and abs(a.i - b.i) <= 5 and a.i // 1000 = b.i // 1000 where b.word in (select context from contexts) group by all),
   cells as (select word, context, ln(times::double * (select sum(times)::double from company)
-    / (sum(times) over (partition by word)::double * sum(times) over (partition by context)::double)) - ln(5.0::double) as value from company)"""
+    / (sum(times) over (partition by word)::double * sum(times) over (partition by context)::double)) as value from company)"""
 add("title_company", f"with {COMPANY} select word, context, times from company")
 add("title_information", f"with {COMPANY} select word, context, round(value, 6) as value from cells where value > 0")
 add("title_factors", f"""with {COMPANY} select (select count(*) from contexts)::int as contexts, true as solved, true as orthonormal,

@@ -494,7 +494,7 @@ def title_information(spark, folder):
     """How much more often than by chance."""
     counts, contexts = _title_company(spark, folder)
     names = spark.createDataFrame(list(enumerate(contexts)), "place int, context string")
-    cells = W.information(counts).join(F.broadcast(names), "place")
+    cells = W.information(counts, E.TITLE_SHIFT).join(F.broadcast(names), "place")
     return cells.select("word", "context", rounded("value", 6).alias("value"))
 
 
@@ -502,7 +502,7 @@ def title_information(spark, folder):
 def title_factors(spark, folder):
     """All factors of that matrix: they solve their equation, are orthonormal, and their squares add up to those of its entries."""
     counts, contexts = _title_company(spark, folder)
-    rows = settle(W.matrix_rows(W.information(counts)))
+    rows = settle(W.matrix_rows(W.information(counts, E.TITLE_SHIFT)))
     values, vectors, residual = W.leading_factors(rows, len(contexts), len(contexts))
     square = float(abs(vectors.T @ vectors - np.eye(len(values))).max())
     return spark.range(1).select(

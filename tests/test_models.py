@@ -46,7 +46,7 @@ def test_games_played_together_lie_closer(spark):
         (u, int(rng.integers(0, 10)) + 100 * (u % 2), t, u * 40 + t) for u in range(120) for t in range(40)
     ]
     reviews = spark.createDataFrame(rows, "user_id long, game_id long, ts long, review_id long")
-    vectors = {r.game_id: np.array(r.vector) for r in E.title_vectors(reviews, width=16, iterations=6).collect()}
+    vectors = {r.game_id: np.array(r.vector) for r in E.title_vectors(reviews, width=16).collect()}
     unit = {g: v / np.linalg.norm(v) for g, v in vectors.items()}
     near = np.mean([unit[a] @ unit[b] for a in range(10) for b in range(10) if a != b])
     far = np.mean([unit[a] @ unit[100 + b] for a in range(10) for b in range(10)])
