@@ -2,17 +2,20 @@
 
 1. Every text becomes the set of its distinct shingles.  Texts with equal sets are
    one class, kept by its smallest id, so copies meet once.
-2. Classes are grouped by two min-hashes of their sets, which similar sets tend to
-   share; a large cell is split into groups of about ``GROUP`` members.
-3. The matrix has a row (token, group) for the tokens in the prefixes of a group's
-   members.  In one order of tokens for all, two sets that link share a token among
-   their first n - ceil(t n) + 1.  The order puts frequent tokens last; it is exact
-   whatever the order, so the counts behind it may be estimates.
-4. Two groups that share a token, with sizes and places that leave room for enough
+2. Classes that share one of four min-hashes, and are of like size, are compared in small cells.
+   This finds nearly all links of near copies at the price of a few texts each; what it
+   finds are components to begin with.  Nothing depends on it but the amount of work.
+3. The classes of one component are groups of about ``GROUP`` members.  The matrix has a row
+   (token, component) for the tokens in the prefixes of the members.  In one order of
+   tokens for all, two sets that link share a token among their first n - ceil(t n) + 1.
+   The order puts frequent tokens last; it is exact whatever the order, so the counts
+   behind it may be estimates.
+4. Two components that share a token, with sizes and places that leave room for enough
    overlap, are bound: a set may overlap a group in no more tokens than those whose bit
    is set in the union of the group's bitmaps.  Only members within the bound open
-   the other group.
-5. Opened groups are compared on whole texts, and links become components.
+   the other component's groups.
+5. Opened groups are compared on whole texts, and links become components.  At first a set asks only
+   the best of a component's groups; only if that linked nothing of the two components it asks the rest.
 
 Nulls, empty and blank texts have no shingles and link with nothing.  A null id is
 the smallest.  Repeated rows are one class.  An empty table gives an empty result.
@@ -47,6 +50,8 @@ LARGEST_BITMAP = 1 << 16
 # The order of tokens: counts per place of a token's top bits, of which the largest are kept.
 PLACE_BITS = 22
 ORDERED = 1 << 16
+# Min-hashes of the cells.
+SALTS = (0x51ED27, 0xA24BAED4, 0x9FB21C65, 0xE6546B64)
 _NONE = -(1 << 63)
 
 
@@ -129,8 +134,9 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(sets.sizes, pa.int64()), pa.array(sets.digests(), pa.binary()), none, none], schema=schema
                 )
-        # Rare places sort alike anyway, so only those a task saw often are handed on.
-        often = np.flatnonzero(times >= 6)
+        # Rare places sort alike anyway, so only those a task saw more often than by chance are handed on.
+        mean = times.mean()
+        often = np.flatnonzero(times >= max(3, mean + 4 * np.sqrt(mean)))
         none = pa.nulls(len(often), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, pa.nulls(len(often), pa.binary()), pa.array(often), pa.array(times[often], pa.int64())], schema=schema
@@ -140,7 +146,7 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
 
 
 def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """One row per distinct set: digest, rep and text (id and hash of its first text), n, cell keys, bitmap, prefix tokens in order."""
+    """One row per distinct set: digest, rep and hash (of its first text), n, min-hashes, bitmap, prefix tokens in order."""
     order = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,8 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                 if not len(some):
                     continue
                 n, starts = sets.sizes[some], sets.bounds[some]
-                cells = [np.minimum.reduceat(mix(sets.tokens ^ np.uint64(salt)), starts) for salt in (0x51ED27, 0xA24BAED4)]
+                least = [np.minimum.reduceat(mix(sets.tokens ^ np.uint64(salt)), starts) for salt in SALTS]
+                keys = np.stack(least, 1).view(np.int64).ravel()
                 maps = bitmaps(sets)
                 weight = np.zeros(len(sets.tokens), np.int64)
                 if len(places):
@@ -171,24 +178,74 @@ def class_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                         part.column("rep").take(pa.array(some)),
                         part.column("hash").take(pa.array(some)),
                         pa.array(n, pa.int32()),
-                        pa.array(cells[0].view(np.int64)),
-                        pa.array(cells[1].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(SALTS)), pa.array(keys)),
                         pa.array([maps[i] for i in some], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
                     ],
-                    names=["digest", "rep", "hash", "n", "k1", "k2", "bits", "tokens"],
+                    names=["digest", "rep", "hash", "n", "keys", "bits", "tokens"],
                 )
 
     found = docs.mapInArrow(
-        rows, "digest binary, rep long, hash long, n int, k1 long, k2 long, bits binary, tokens array<bigint>"
+        rows, "digest binary, rep long, hash long, n int, keys array<bigint>, bits binary, tokens array<bigint>"
     )
-    first = F.min_by(F.struct("rep", "hash", "n", "k1", "k2", "bits", "tokens"), F.struct("rep", "hash")).alias("x")
+    first = F.min_by(F.struct("rep", "hash", "n", "keys", "bits", "tokens"), F.struct("rep", "hash")).alias("x")
     return found.groupBy("digest").agg(first).select("digest", "x.*")
 
 
+def _enough(shared, total, percent: int):
+    """Whether sets of ``total`` tokens together that share so many link."""
+    return shared * (100 + percent) >= total * percent
+
+
+def cells(classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """gid, rep, hash, n, digest, bits: classes with a min-hash in common, in groups of about ``size``.
+
+    A cell holds sets whose sizes fall into one interval; the intervals of every second
+    min-hash are shifted by half.  Two sets of a large cell are in each of its groups and hold them together.
+    """
+    step = -np.log(percent / 100) if percent < 100 else 1.0
+    interval = F.floor(F.log(F.col("n")) / step + F.col("k") % 2 * 0.5)
+    rows = classes.select("digest", "n", F.posexplode("keys").alias("k", "least"))
+    rows = rows.select("digest", F.xxhash64("k", "least", interval).alias("cell"))
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("held"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    rows = rows.join(settle(counts.filter("held > 1")), "cell")
+    parts = F.ceil(F.col("held") / size).cast("int")
+    own = F.array(F.pmod(F.xxhash64("digest"), parts).cast("int"))
+    held_by_all = F.col("digest").isin(F.col("low"), F.col("high"))
+    part = F.explode(F.when(held_by_all, F.sequence(F.lit(0), parts - 1)).otherwise(own)).alias("part")
+    # Only the members of cells go on with their bitmaps.
+    placed = rows.select("cell", "digest", part).select(F.xxhash64("cell", "part").alias("gid"), "digest")
+    return settle(placed).hint("merge").join(classes.select("rep", "hash", "n", "digest", "bits"), "digest")
+
+
+def plausible(rows: DataFrame, percent: int) -> DataFrame:
+    """gid, rep, hash, digest of the members of a cell's groups that may link with another one, by their bitmaps."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in whole_groups(batches, ["gid"]):
+            keep = np.zeros(batch.num_rows, bool)
+            sizes, maps = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("bits").to_pylist()
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if b - a == 1:
+                    continue
+                size = min(map(len, maps[a:b]))
+                table = np.stack([folded(m, size) for m in maps[a:b]]).view(np.uint64)
+                n = sizes[a:b]
+                missing = np.stack([np.bitwise_count(table[i] & ~table).sum(1) for i in range(b - a)]).astype(np.int64)
+                most = np.minimum(n[:, None] - missing, n[None, :] - missing.T)
+                may = _enough(most, n[:, None] + n[None, :], percent)
+                np.fill_diagonal(may, False)
+                keep[a:b] = may.any(1)
+            yield batch.select(["gid", "rep", "hash", "digest"]).filter(pa.array(keep))
+
+    rows = rows.repartition("gid").sortWithinPartitions("gid")
+    return rows.mapInArrow(judge, "gid long, rep long, hash long, digest binary")
+
+
 _MEMBER = ["rep", "hash", "n", "digest", "bits"]
 _GROUPS = (
-    "gid long, lo int, hi int, bits binary, members array<struct<rep: bigint, hash: bigint, n: int, digest: binary, bits: binary>>, "
+    "gid binary, comp binary, held long, lo int, hi int, bits binary, "
+    "members array<struct<rep: bigint, hash: bigint, n: int, digest: binary, bits: binary>>, "
     "tokens array<struct<token: bigint, room: int>>"
 )
 
@@ -221,46 +278,67 @@ def _matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.StructArray.from_arrays(
             [pa.array(tokens[first]), pa.array(room[first].astype(np.int32))], names=["token", "room"]
         )
+        begins = pa.array(starts)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("gid").take(pa.array(starts)),
+                batch.column("gid").take(begins),
+                batch.column("comp").take(begins),
+                batch.column("held").take(begins),
                 pa.array(np.minimum.reduceat(n, starts).astype(np.int32)),
                 pa.array(np.maximum.reduceat(n, starts).astype(np.int32)),
                 pa.array(unions, pa.binary()),
                 pa.ListArray.from_arrays(offsets(ends), members),
                 pa.ListArray.from_arrays(offsets(per_group), pairs),
             ],
-            names=["gid", "lo", "hi", "bits", "members", "tokens"],
+            names=["gid", "comp", "held", "lo", "hi", "bits", "members", "tokens"],
         )
 
 
-def groups_of(classes: DataFrame, size: int) -> DataFrame:
-    cells = classes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("cell")).filter(F.col("cell") > size)
-    shares = F.coalesce(F.ceil(F.col("cell") / size), F.lit(1))
-    placed = classes.join(settle(cells), ["k1", "k2"], "left")
-    placed = placed.withColumn("gid", F.xxhash64("k1", "k2", F.pmod(F.xxhash64("digest"), shares)))
-    rows = placed.select("gid", "rep", "hash", "n", "digest", "bits", "tokens")
-    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_matrix_rows, _GROUPS)
-
-
-def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: groups that share a prefix token with room for a link."""
-    rows = groups.select("gid", "lo", "hi", F.explode("tokens").alias("t")).select("gid", "lo", "hi", "t.*")
-    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("gid", "lo", "hi", "room")])
-    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "lo", "hi", "room")])
+def groups_of(classes: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """The groups of each component (``comp``, of ``held`` classes); ``roots``: node, root."""
+    counts = roots.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("held"))
+    both = roots.join(counts, "root")
+    both = settle(both.union(counts.select("root", F.col("root").alias("node"), "held").select(both.columns)))
+    placed = classes.withColumn("node", _node_column()).hint("merge").join(both, "node", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("digest"), F.ceil(F.col("held") / size)), F.lit(0))
+    comp = F.coalesce("root", "node")
+    gid = F.concat(comp, F.unhex(F.lpad(F.hex(part), 8, "0")))
+    held = F.coalesce("held", F.lit(1)).alias("held")
+    rows = settle(placed.select(gid.alias("gid"), comp.alias("comp"), held, "rep", "hash", "n", "digest", "bits", "tokens"))
+    # A class by itself is a group where it is; only the others are brought together.
+    alone = rows.filter("held = 1").mapInArrow(_matrix_rows, _GROUPS)
+    more = rows.filter("held > 1").repartition("gid").sortWithinPartitions("gid").mapInArrow(_matrix_rows, _GROUPS)
+    return alone.union(more)
+
+
+def component_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that share a prefix token with room for a link; a has no more classes than b."""
+    rows = groups.select(F.xxhash64("comp").alias("comp"), "held", "lo", "hi", F.explode("tokens").alias("t"))
+    rows = rows.select("comp", "held", "lo", "hi", "t.*")
+    # One row per token and component.
+    least, most = [F.min("lo").alias("lo"), F.max("hi").alias("hi")], F.max("room").alias("room")
+    more = rows.filter("held > 1").groupBy("token", "comp", "held").agg(*least, most)
+    rows = rows.filter("held = 1").unionByName(more)
+    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("comp", "held", "lo", "hi", "room")])
+    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("comp", "held", "lo", "hi", "room")])
     # Sizes within t of each other; then at the first shared token what is left must hold t / (1 + t) of both sizes.
     fits = (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
     room = F.least("room_a", "room_b") * (100 + percent) >= (F.col("lo_a") + F.col("lo_b")) * percent
-    pairs = one.join(two, "token").filter((F.col("gid_a") < F.col("gid_b")) & fits & room)
-    return pairs.select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).distinct()
+    before = (F.col("held_a") < F.col("held_b")) | ((F.col("held_a") == F.col("held_b")) & (F.col("comp_a") < F.col("comp_b")))
+    # Lists make these rows look few to the planner; a broadcast of them would grow with the data.
+    pairs = one.hint("merge").join(two, "token").filter(before & fits & room)
+    return pairs.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
 
 
 def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(gid, rep, hash, digest): the outsiders that qualify to ask a group."""
+    """(gid, own, other, over, rep, hash, digest): members of ``own`` that qualify to ask a group of ``other``, with the bound."""
+    kept = ["gid", "own", "other", "over", "rep", "hash", "digest"]
+    types = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip(kept, types)))
 
     def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"gid": [], "rep": [], "hash": [], "digest": []}
+            out = {c: [] for c in kept}
             for row in batch.to_pylist():
                 members = row["members"]
                 sizes = np.array([m["n"] for m in members])
@@ -268,19 +346,19 @@ def bound(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 for i, m in enumerate(members):
                     size = min(len(m["bits"]), len(row["bits"]))
                     missing[i] = np.bitwise_count(folded(m["bits"], size) & ~folded(row["bits"], size)).sum()
+                over = sizes - missing
                 needed = np.maximum(sizes, row["lo"])  # overlap of a link is at least t of the larger set
-                good = ((sizes - missing) * 100 >= needed * percent) & (sizes * percent <= row["hi"] * 100)
+                good = (over * 100 >= needed * percent) & (sizes * percent <= row["hi"] * 100)
                 for i in np.flatnonzero(good).tolist():
-                    out["gid"].append(row["b"])
-                    for c in ("rep", "hash", "digest"):
-                        out[c].append(members[i][c])
-            schema = pa.schema([("gid", pa.int64()), ("rep", pa.int64()), ("hash", pa.int64()), ("digest", pa.binary())])
+                    values = (row["gid"], row["own"], row["other"], int(over[i]), *[members[i][c] for c in ("rep", "hash", "digest")])
+                    for c, value in zip(kept, values):
+                        out[c].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    left = groups.select(F.col("gid").alias("a"), "members")
-    right = groups.select(F.col("gid").alias("b"), "lo", "hi", "bits")
-    asking = pairs.join(right, "b").join(left, "a").select("b", "lo", "hi", "bits", "members")
-    return asking.mapInArrow(qualify, "gid long, rep long, hash long, digest binary")
+    left = groups.select(F.xxhash64("comp").alias("a"), F.col("comp").alias("own"), "members")
+    right = groups.select(F.xxhash64("comp").alias("b"), F.col("comp").alias("other"), "gid", "lo", "hi", "bits")
+    asking = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("own", "other", "gid", "lo", "hi", "bits", "members")
+    return asking.mapInArrow(qualify, "gid binary, own binary, other binary, over long, rep long, hash long, digest binary")
 
 
 def opened(rows: DataFrame, percent: int, width: int) -> DataFrame:
@@ -334,6 +412,24 @@ def identified(docs: DataFrame) -> DataFrame:
     return ids.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("rep"), F.xxhash64("text").alias("hash"))
 
 
+def _with_texts(calls: DataFrame, docs: DataFrame) -> DataFrame:
+    wanted = settle(calls.select("rep", "hash").distinct())
+    texts = docs.select("rep", "hash", "text").join(wanted, ["rep", "hash"], "left_semi")
+    return calls.join(texts, ["rep", "hash"])
+
+
+def answered(asks: DataFrame, groups: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between the sets that ask (gid, rep, hash, digest) and the members of the groups they ask."""
+    columns = ["gid", "rep", "hash", "digest", "part"]
+    parts = asks.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / OPENED).cast("int").alias("parts"))
+    parts = settle(parts)
+    listed = groups.select("gid", F.inline("members")).join(parts, "gid")
+    answering = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asks.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    calls = answering.select(*columns, F.lit(False).alias("asks")).union(asked.select(*columns, F.lit(True)))
+    return opened(_with_texts(settle(calls), docs), percent, width)
+
+
 def joined_classes(facts: DataFrame, docs: DataFrame, percent: int, width: int, group: int) -> DataFrame:
     """Per class: digest, rep and hash of its first text, node, root (the node that sorts first in its component)."""
     counted = facts.filter("place is not null").groupBy("place").agg(F.sum("times").alias("times"))
@@ -342,29 +438,26 @@ def joined_classes(facts: DataFrame, docs: DataFrame, percent: int, width: int,
     ).reshape(-1, 2)
     top = top[np.argsort(top[:, 0])]
     classes = settle(class_rows(docs, width, percent, (top[:, 0], top[:, 1])))
-    groups = settle(groups_of(classes, group))
-    pairs = group_pairs(groups, percent)
-    asking = settle(bound(groups, pairs, percent))
-    columns = ["gid", "rep", "hash", "digest"]
-    # Groups with several members are also compared within.
-    inside = groups.filter(F.size("members") > 1).select("gid", F.inline("members")).select(*columns)
-    parts = asking.groupBy("gid").agg(F.count(F.lit(1)).alias("asked")).withColumn("parts", F.ceil(F.col("asked") / OPENED))
-    parts = settle(parts.select("gid", F.col("parts").cast("int").alias("parts")))
-    listed = groups.select("gid", F.inline("members")).select(*columns)
-    answering = listed.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    alone = inside.join(parts, "gid", "left_anti").withColumn("part", F.lit(0))
-    asked = asking.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    columns += ["part"]
-    calls = (
-        answering.select(*columns, F.lit(False).alias("asks"))
-        .union(alone.select(*columns, F.lit(False)))
-        .union(asked.select(*columns, F.lit(True)))
+    alike = settle(plausible(cells(classes, percent, group), percent))
+    calls = alike.select("gid", F.lit(0).alias("part"), "rep", "hash", "digest", F.lit(False).alias("asks"))
+    roots = settle(components(opened(_with_texts(calls, docs), percent, width)))
+    groups = settle(groups_of(classes, roots, group))
+    asking = settle(bound(groups, settle(component_pairs(groups, percent)), percent))
+    best = asking.groupBy("digest", "other").agg(
+        F.max_by(F.struct("gid", "rep", "hash"), F.struct("over", "gid")).alias("x")
     )
-    calls = settle(calls)
-    wanted = settle(calls.select("rep", "hash").distinct())
-    texts = docs.select("rep", "hash", "text").join(wanted, ["rep", "hash"], "left_semi")
-    links = opened(calls.join(texts, ["rep", "hash"]), percent, width)
-    roots = settle(components(links))
+    best = settle(best.select("digest", "other", "x.*"))
+    found = settle(answered(best, groups, docs, percent, width))
+    # Components that have linked by now have nothing more to ask each other.
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    linked = found.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    linked = linked.select(F.coalesce("a_root", "a").alias("own"), F.coalesce("b_root", "b").alias("other"))
+    linked = linked.union(linked.select("other", "own")).distinct()
+    rest = asking.join(best.select("gid", "digest"), ["gid", "digest"], "left_anti").join(linked, ["own", "other"], "left_anti")
+    rest = settle(rest.select("gid", "rep", "hash", "digest"))
+    if not rest.isEmpty():
+        found = found.union(answered(rest, groups, docs, percent, width))
+    roots = settle(components(roots.toDF("a", "b").union(found)))
     classes = classes.select("digest", "rep", "hash", _node_column().alias("node")).join(roots, "node", "left")
     return settle(classes.withColumn("root", F.coalesce("root", "node")))
 
