@@ -144,7 +144,8 @@ def rawg_hits(searches: DataFrame, details: DataFrame, count: int = 1) -> DataFr
     wanted = searches.select("query_name", F.posexplode(F.slice(results, 1, count)).alias("pos", "result"))
     wanted = wanted.select("query_name", "pos", F.col("result.id").alias("id"))
     found = details.select("id", F.from_json("payload", schemas.RAWG_DETAIL).alias("g"))
-    return wanted.join(found, "id").select("query_name", "pos", rawg_record(F.col("g")).alias("game"))
+    # Both sides grow with the titles, and a parsed record is much larger than the estimate says.
+    return wanted.join(found.hint("merge"), "id").select("query_name", "pos", rawg_record(F.col("g")).alias("game"))
 
 
 def igdb_hits(searches: DataFrame, count: int = 1) -> DataFrame:
@@ -190,7 +191,7 @@ def metacritic_hits(searches: DataFrame, pages: DataFrame, count: int = 1) -> Da
     parsed = pages.select("slug", F.from_json("payload", schemas.METACRITIC_PAGE)["components"].alias("components"))
     usable = parsed.filter(complete_page(F.col("components")))
     # Scored after the join: results without a usable page need no score.
-    scored = title_candidates(searches).join(usable, "slug").withColumn("similarity", block_similarity("title", "query_name"))
+    scored = title_candidates(searches).join(usable.hint("merge"), "slug").withColumn("similarity", block_similarity("title", "query_name"))
     best = top_per_key(scored, ["query_name"], [F.desc("similarity"), F.asc("pos")], count)
     return best.select(
         "query_name", (F.col("rank") - 1).alias("pos"), metacritic_record(F.col("components")).alias("game")
