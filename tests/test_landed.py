@@ -260,3 +260,20 @@ def test_game_jobs_end_to_end(spark, tmp_path, folder):
     assert len(spark.read.parquet(str(tmp_path / "wide")).first().action) == 324
     best = jobs.recommendations(reviews, features, 324)
     assert best.join(reviews, (best.query_id == reviews.user_id) & (best.item_id == reviews.game_id)).count() == 0
+
+
+def test_unseen_run_under_a_session_with_another_state_store(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    base = J.fresh_folder(spark, "plain-store")
+    landing, table = os.path.join(base, "landing"), os.path.join(base, "table")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        for keys in ((1, 2), (2, 3)):
+            spark.createDataFrame([(k, 1) for k in keys], "k long, at long").coalesce(1).write.mode("append").parquet(landing)
+            stream = I.landed_stream(spark, landing, "k long, at long", files_per_batch=1)
+            I.unseen_run(stream, table, os.path.join(base, "checkpoint"), ["k"], ["at"]).awaitTermination()
+        assert spark.conf.get(name).endswith("HDFSBackedStateStoreProvider")
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.k for r in spark.read.parquet(table).collect()) == [1, 2, 3]
