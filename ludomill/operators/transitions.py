@@ -45,7 +45,9 @@ def transitions(
 
     # Narrow rows are cut into chunks; the wide vectors are joined on after.
     chunked = in_chunks(history, ["user_id", *order])
-    known = chunked.join(games.select("game_id", "vector"), "game_id", "left")
+    # Only games that were reviewed, and by a merge join: the estimate takes a vector for a list of one number.
+    reviewed = games.join(chunked.select("game_id").distinct(), "game_id", "left_semi")
+    known = chunked.join(reviewed.select("game_id", "vector").hint("merge"), "game_id", "left")
     blank = F.array_repeat(F.lit(0.0), width)
     counted = F.concat(
         F.coalesce(F.col("vector").cast("array<double>"), blank),
