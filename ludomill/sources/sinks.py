@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+# Fixed value: rows of an XML file, some tens of megabytes.
+XML_RECORDS = 50_000
+
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
@@ -21,6 +24,11 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     writer.option("header", True).option("escape", '"').csv(path)
 
 
+def write_xml(df: DataFrame, path: str, root: str, row: str, records: int = XML_RECORDS) -> None:
+    """XML in files of at most ``records`` rows: a file cannot be split, so one task reads all of it."""
+    df.write.format("xml").option("rootTag", root).option("rowTag", row).option("maxRecordsPerFile", records).save(path)
+
+
 def write_transitions(df: DataFrame, path: str, buckets: int = 64) -> dict[str, int]:
     """Transitions in folders by user hash; returns their number, the terminals and the vector widths.
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ludomill.functions.text import percent_alike
+from ludomill.operators import alike as A
+from ludomill.operators import evaluate as V
 from ludomill.operators import normalise as N
 from ludomill.operators import resolve as R
 from ludomill.operators.transitions import transitions
 from ludomill.plans import tables as T
 from ludomill.session import fresh_folder
+from ludomill.sources import readers, sinks
 
 
 @contextmanager
@@ -86,3 +91,52 @@ def test_game_vectors_are_not_sent_to_every_task(spark):
     with set_to(spark, "spark.sql.maxBroadcastTableSize", "33m"):
         rows = transitions(reviews, spark.read.parquet(folder), 324)
         assert rows.agg(F.sum(F.get("action", F.lit(323)))).first()[0] == sum(range(16000))
+
+
+def test_xml_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    path = str(tmp_path / "xml")
+    rows = spark.range(25).coalesce(1).select("id", F.concat(F.lit("game "), F.col("id")).alias("name"))
+    sinks.write_xml(rows, path, "response", "game", records=10)
+    assert len(list((tmp_path / "xml").glob("part-*"))) == 3
+    assert sorted(r.id for r in readers.read_xml_games(spark, path).collect()) == list(range(25))
+
+
+def test_bounds_and_pairs_of_the_search_are_handed_on_in_parts(spark, monkeypatch):
+    numbers = np.random.default_rng(5).normal(size=(3000, 8))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(numbers)], "item_id long, vector array<double>")
+    queries = items.filter("item_id < 300").withColumnRenamed("item_id", "query_id").coalesce(1)
+    blocks = V._Blocks(items, "dot", 8)
+    sizes = []
+    monkeypatch.setattr(type(queries), "mapInPandas", lambda df, function, schema: sizes.extend(len(p) for p in function([df.toPandas()])) or df)
+    blocks.visits(queries.withColumn("least", F.lit(None).cast("double")), 0, None, 6)
+    assert sum(sizes) > 50_000 and max(sizes) <= V.PAIR_ROWS
+
+
+def test_links_connect_as_all_accepted_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(A, "LINK_BLOCK", 16)
+    random = np.random.default_rng(3)
+    words = ["ring", "bolt", "blue", "cold"]
+    rows = [
+        (i, int(random.integers(2)), f"{words[random.integers(4)]} {words[random.integers(4)]} {random.integers(10**4)}", f"{words[random.integers(4)]}s")
+        for i in range(120)
+    ]
+    frame = spark.createDataFrame(rows, "node int, year int, text string, note string")
+    links = [tuple(r) for r in A.similar_links(frame, 90, 70, ["year"]).collect()]
+
+    def classes(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    whole = []
+    for a, year, text, note in rows:
+        for b, other_year, other, other_note in rows[:a]:
+            score = percent_alike(text, other)
+            if year == other_year and (score > 90 or (score >= 70 and percent_alike(note, other_note) > 90)):
+                whole.append((a, b))
+    assert set(links) <= {pair for a, b in whole for pair in ((a, b), (b, a))}
+    assert classes(links) == classes(whole)
+    # Blocks of a year meet in pairs, and each hands on fewer links than it has nodes.
+    assert len(links) < len(whole)
