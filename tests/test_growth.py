@@ -140,3 +140,45 @@ def test_links_connect_as_all_accepted_pairs_do(spark, monkeypatch):
     assert classes(links) == classes(whole)
     # Blocks of a year meet in pairs, and each hands on fewer links than it has nodes.
     assert len(links) < len(whole)
+
+
+def numbered(spark, rows):
+    """Titles that differ in their numbers, and a catalogue that spells half of them its own way."""
+    stems = ["hot bolt", "large ring", "blue anvil", "new plate", "small rod", "gutsy vase", "old clock", "wide chair"]
+    names = [(f"{stems[i % 8]} {i * 37}", i % 3 + 2000) for i in range(rows)] + [("nothing of the sort", 2001), ("", 2001), (None, 2001)]
+    titles = spark.createDataFrame([(n, f"{y}-01-01") for n, y in names], "game_name string, anchor_release string")
+    spelled = [(i, n and (f"the {n}" if i % 2 else n[::-1] if i % 16 == 6 else n), f"{y + 1}-05-05") for i, (n, y) in enumerate(names[:-3])]
+    return titles, spark.createDataFrame([*spelled, (-1, None, None)], "entry_id long, name string, release string"), names, spelled
+
+
+def best_by_hand(names, spelled, accepted):
+    best = {}
+    for name, year in names:
+        found = [(-p, e, s, r) for e, s, r in spelled if name and (p := percent_alike(name, s)) > 65 and accepted(p, year, r)]
+        if found:
+            best[name] = min(found)
+    return {(n, e, s, r, -p) for n, (p, e, s, r) in best.items()}
+
+
+def met_pairs(monkeypatch):
+    """Counts the pairs of texts that are dealt to the same blocks."""
+    counted, old = [], A._met_blocks
+
+    def count(left, right, on, *more):
+        if on:
+            sizes = [s.groupBy(*on).agg(F.count("*").alias(n)) for s, n in ((left, "a"), (right, "b"))]
+            counted.append(sizes[0].join(sizes[1], list(on)).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0])
+        else:
+            counted.append(left.count() * right.count())
+        return old(left, right, on, *more)
+
+    monkeypatch.setattr(A, "_met_blocks", count)
+    return counted
+
+
+def test_anchor_match_scores_near_classes_only(spark, monkeypatch):
+    titles, catalogue, names, spelled = numbered(spark, 800)
+    counted = met_pairs(monkeypatch)
+    found = {tuple(r) for r in R.match_anchor_catalogue(titles, catalogue).collect()}
+    assert found == best_by_hand(names, spelled, lambda *_: True)
+    assert sum(counted) < 0.5 * 800 * 800
