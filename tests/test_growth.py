@@ -182,3 +182,54 @@ def test_anchor_match_scores_near_classes_only(spark, monkeypatch):
     found = {tuple(r) for r in R.match_anchor_catalogue(titles, catalogue).collect()}
     assert found == best_by_hand(names, spelled, lambda *_: True)
     assert sum(counted) < 0.5 * 800 * 800
+
+
+def close(year, release):
+    return abs(year - int(release[:4])) <= 1
+
+
+def test_titles_with_a_near_name_are_not_looked_for_in_their_years(spark, monkeypatch):
+    titles, catalogue, names, spelled = numbered(spark, 400)
+    asked, old = [], R.most_similar
+    monkeypatch.setattr(R, "most_similar", lambda left, *more, **on: asked.append(left.select("text").distinct().count()) or old(left, *more, **on))
+    found = {tuple(r) for r in R.best_matches(titles, catalogue).collect()}
+    assert found == best_by_hand(names, spelled, lambda p, year, release: p > 90 or close(year, release))
+    assert asked[0] < 300 and asked[0] > asked[1]
+
+
+def test_entries_come_along_with_their_pairs(spark):
+    titles, catalogue, names, spelled = numbered(spark, 200)
+    left = spark.createDataFrame([("hot bolt 12", 1)], "text string, year int")
+    right = spark.createDataFrame([("hot bolt 13", 1, 7), ("hot bolt 13", 1, 8), ("hot bolt 13", 2, 9)], "text string, year int, entry_id int")
+    assert sorted(r.entry_id for r in A.similar_pairs(left, right, 66, on=["year"], kept=["entry_id"]).collect()) == [7, 8]
+    found = [tuple(r) for r in R.match_catalogue(titles, catalogue).collect()]
+    whole = [(n, e, s, r, percent_alike(n, s)) for n, y in names if n for e, s, r in spelled]
+    years = dict(names)
+    assert sorted(found) == sorted(w for w in whole if w[4] > 90 or (w[4] > 65 and close(years[w[0]], w[3])))
+
+
+def test_similar_titles_meet_below_near_developers_only(spark, monkeypatch):
+    stems = ["hot bolt", "large ring", "blue anvil", "new plate"]
+    houses = ["north wind games", "north winds games", "old mill", "", None, "red fox", "blue moon", "far shore"]
+    rows = [(f"{stems[i % 4]} {i * 37}", houses[i // 4 % 8], 2000 + i % 2) for i in range(400)]
+    left = spark.createDataFrame(rows, "title string, developer string, release_year int")
+    right = spark.createDataFrame([(f"{t} b" if i % 3 else t, d, y) for i, (t, d, y) in enumerate(rows)], left.schema)
+    counted = met_pairs(monkeypatch)
+    found = {(r.year, r.left_text, r.right_text, r.percent, r.left_developer, r.right_developer, r.developer_percent, r.tier)
+             for r in R.tiered_matches(left, right).collect()}
+
+    def ordered_words(text):
+        return text and " ".join(sorted(text.split()))
+
+    ordered = [(ordered_words(t), ordered_words(d), y) for t, d, y in rows]
+    others = [(ordered_words(f"{t} b" if i % 3 else t), ordered_words(d), y) for i, (t, d, y) in enumerate(rows)]
+    whole = set()
+    for t, d, y in ordered:
+        for u, e, z in others:
+            score = percent_alike(t, u) if y == z else 0
+            if score >= 70:
+                alike = percent_alike(d, e)
+                if score > 90 or alike > 90:
+                    whole.add((y, t, u, score, d, e, alike, "title" if score > 90 else "developer"))
+    assert found == whole and {w[7] for w in whole} == {"title", "developer"}
+    assert sum(counted) < 0.7 * 2 * 200 * 200
