@@ -61,6 +61,28 @@ def test_counts_and_information(spark, monkeypatch, rows, table, window, context
     assert cells.keys() == want.keys() and all(math.isclose(cells[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_words_are_dealt_out_with_all_their_company(spark, monkeypatch):
+    """A row for each word of a slice, not one for each pair of a word and a context; words go on from batch to batch."""
+    rng = random.Random(14)
+    rows = [rng.choices([f"w{i}" for i in range(20)], k=50) for _ in range(40)]
+    known = [f"w{i}" for i in range(20)]
+    monkeypatch.setattr(W, "_TOKENS", 500)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    counts = W.company_counts(spark.createDataFrame([(r,) for r in rows], "words array<string>").coalesce(1), known)
+    try:
+        spark.conf.set(name, "20")
+        got = counts.collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {(r.word, known[r.place]): r.times for r in got} == plain_counts(rows, set(known), W.WINDOW)
+    assert len(got) == 400
+    stages = counts._jdf.queryExecution().executedPlan().executedPlan().plan().collectLeaves()
+    dealt = sum(stages.apply(i).shuffle().metrics().apply("shuffleRecordsWritten").value() for i in range(stages.size()))
+    # At most 20 words in each of the 4 slices of 10 sentences.
+    assert 20 <= dealt <= 80
+
+
 def test_vectors_are_the_leading_factors(spark, monkeypatch, rows, table):
     monkeypatch.setattr(W, "_ENTRIES", 16)
     monkeypatch.setattr(W, "_ROWS", 4)
