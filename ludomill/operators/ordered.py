@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ BEFORE = "_before_"
 CHUNK_TOTAL = "_total_"
 IN_CHUNK = "_in_chunk_"
 
+# Numbers in the vectors that a chunk of rows with a vector each may need, and rows scanned at a time.
+CHUNK_CELLS = 1 << 24
+_SCAN_ROWS = 2048
+# What the lines of a chunk are, in their order.
+_OFFSETS, _VECTORS, _ROWS = range(3)
+
 
 def in_chunks(df: DataFrame, order: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Number the even, contiguous stretches of the order over all rows.
@@ -134,26 +141,154 @@ def _scanned(rows: DataFrame, within: Sequence[str], order: Sequence[str], width
     return placed.mapInArrow(_running(width, out), ", ".join([*kept, f"{out} array<double>", "_end boolean"]))
 
 
-def vector_before(
-    chunked: DataFrame, keys: Sequence[str], order: Sequence[str], vector: Column, width: int, name: str
+class _Chunk:
+    """What the rows of one chunk need: the vectors of its games, and what earlier chunks hold of the keys that begin there."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.waiting, self.offsets = width, [], {}
+
+    def add(self, kind: int, rows: pa.RecordBatch) -> None:
+        if kind == _OFFSETS:
+            values = rows.column("_vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.width + 1)
+            ends = rows.column("_end").to_pylist()
+            self.offsets.update(zip(rows.column("_group").to_pylist(), zip(values, ends)))
+        else:
+            self.waiting.append(rows.filter(rows.column("_vector").is_valid()))
+
+    def build(self) -> None:
+        if self.waiting is not None:
+            table = pa.Table.from_batches(self.waiting) if self.waiting else None
+            self.ids = table.column("_item").combine_chunks() if table else None
+            self.lists = table.column("_vector").combine_chunks() if table else None
+            self.matrix = self.lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.width) if table else None
+            self.waiting = None
+
+    def places(self, items: pa.Array) -> np.ndarray:
+        """Where the vector of each item lies, or -1."""
+        if self.ids is None:
+            return np.full(len(items), -1)
+        found = pa.compute.index_in(items, value_set=self.ids, skip_nulls=True)
+        return np.where(items.is_null(), -1, found.fill_null(-1).to_numpy(zero_copy_only=False))
+
+
+def _chunk_scan(width: int, kept: Sequence[str], totals: bool):
+    """A scan of whole chunks, each with what :class:`_Chunk` needs first, then its rows in their order.
+
+    Yields either the sum of the vectors of each ``_group`` of a chunk and the number of rows that have one
+    (``totals``), or the rows that have a vector, with the mean over the group's earlier rows.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk, group, total, waiting = None, _Chunk(width), None, np.zeros(width + 1), None
+
+        def finished(ends_group: bool) -> pa.RecordBatch:
+            columns, ends, has, out = waiting
+            if totals:
+                return pa.RecordBatch.from_arrays([*columns, _lists([total])], names=[*kept, "_values"])
+            ends[-1] = ends_group & ends[-1]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ends[has]), *out], names=[*kept, LAST, "_seen", "_mean", "_own"])
+
+        for batch in batches:
+            numbers, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (CHUNK, "_kind"))
+            changes = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            starts = [0, *changes.tolist()] if len(numbers) else []
+            for start, stop in zip(starts, [*starts[1:], len(numbers)]):
+                if numbers[start] != number:
+                    if waiting is not None:
+                        yield finished(True)
+                    number, chunk, group, waiting = numbers[start], _Chunk(width), None, None
+                if kinds[start] != _ROWS:
+                    chunk.add(kinds[start], batch.slice(start, stop - start))
+                    continue
+                chunk.build()
+                for at in range(start, stop, _SCAN_ROWS):
+                    rows = batch.slice(at, min(_SCAN_ROWS, stop - at))
+                    labels = np.asarray(rows.column("_group").to_pylist(), dtype=object)
+                    place = chunk.places(rows.column("_item"))
+                    has = place >= 0
+                    values = np.zeros((len(labels), width + 1))
+                    if has.any():
+                        values[has, :width], values[has, width] = chunk.matrix[place[has]], 1.0
+                    ends = np.append(labels[1:] != labels[:-1], True)
+                    if waiting is not None and (not totals or labels[0] != group):
+                        yield finished(labels[0] != group)
+                    before, last = np.empty_like(values), ends.copy()
+                    begun = 0
+                    for end in (np.flatnonzero(ends) + 1).tolist():
+                        if labels[begun] != group:
+                            group, total = labels[begun], np.zeros(width + 1)
+                        sums = total + np.cumsum(values[begun:end], axis=0)
+                        before[begun], before[begun + 1 : end] = total, sums[:-1]
+                        total = sums[-1]
+                        if totals:
+                            waiting = [rows.column(c).slice(begun, 1) for c in kept], None, None, None
+                            if end < len(labels):
+                                yield finished(True)
+                        elif group in chunk.offsets:
+                            earlier, ends_key = chunk.offsets[group]
+                            before[begun:end] += earlier
+                            last[end - 1] = ends_key
+                        begun = end
+                    if totals:
+                        continue
+                    before, own = before[has], pa.array(place[has])
+                    seen = before[:, width]
+                    mean = np.divide(before[:, :width], seen[:, None], out=np.zeros((len(seen), width)), where=seen[:, None] > 0)
+                    lists = chunk.lists.take(own) if len(own) else pa.array([], pa.list_(pa.float64()))
+                    out = [pa.array(seen.astype(np.int64)), _lists(mean.astype(np.float32)), lists.cast(pa.list_(pa.float32()), safe=False)]
+                    waiting = [rows.column(c).filter(pa.array(has)) for c in kept], last, has, out
+        if waiting is not None:
+            yield finished(True)
+
+    return scan
+
+
+def _lists(rows: np.ndarray | list[np.ndarray]) -> pa.ListArray:
+    values = np.asarray(rows)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype="int32") * values.shape[1]), pa.array(values.ravel()))
+
+
+def chunk_count(df: DataFrame, width: int) -> int:
+    """Chunks for :func:`means_before`: as many as there are shuffle partitions, or more, so that what a chunk holds is bounded."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * width // CHUNK_CELLS))
+
+
+def means_before(
+    chunked: DataFrame, vectors: DataFrame, item: str, keys: Sequence[str], order: Sequence[str], width: int
 ) -> DataFrame:
-    """:func:`totals_before` for one wide vector: the sum over the key's earlier rows as ``name``.
+    """The rows whose ``item`` has a vector, with the mean over the vectors of the key's earlier rows.
 
-    Hundreds of window columns are slow to plan and to run; here each sorted
-    chunk streams through numpy, a batch at a time.  Also adds ``LAST``.
+    ``chunked`` comes from :func:`in_chunks` over ``[*keys, *order]``; ``vectors``: ``item`` (one row each), vector.
+    Adds ``_seen`` (earlier rows with a vector), ``_mean`` (zeros at first) and ``_own`` in single precision, and ``LAST``,
+    which looks at rows without a vector too.
+
+    Wide rows are not dealt out: a chunk gets the vector of each of its items once and looks it up.  The chunks are scanned
+    twice, for what keys that lie in several chunks add up to, and for the rows.
     """
-    group = [*keys, CHUNK]
-    valued = chunked.withColumn("_values", vector.cast("array<double>")).withColumn("_own", F.col("_values"))
-    # Settled, so that what is joined to the rows is joined once: the last row of a chunk also holds the chunk's total.
-    inside = settle(_scanned(valued, group, order, width, "_inside").withColumnRenamed("_end", LAST))
-    totals = inside.filter(LAST).join(_crossing(chunked, keys), list(keys), "left_semi")
-    per_chunk = totals.select(*group, F.zip_with("_inside", "_own", lambda x, y: x + y).alias("_values"))
-    offsets = _scanned(per_chunk, keys, [CHUNK], width, "_before").withColumnRenamed("_end", "_last_chunk")
-    joined = inside.drop("_own").join(offsets, group, "left")
-    summed = F.zip_with("_inside", "_before", lambda x, y: x + y)
-    last = F.col(LAST) & F.coalesce("_last_chunk", F.lit(True))
-    result = joined.withColumns({name: F.coalesce(summed, "_inside"), LAST: last})
-    return result.drop(CHUNK, "_inside", "_before", "_last_chunk")
+    narrow = [c for c in chunked.columns if c != CHUNK]
+    key = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+
+    def lines(rows: DataFrame, kind: int, **values: Column) -> DataFrame:
+        own = {"_kind": F.lit(kind), "_group": F.lit(None).cast("string"), "_vector": F.lit(None).cast("array<double>"),
+               "_end": F.lit(None).cast("boolean"), "_item": F.lit(None).cast(chunked.schema[item].dataType)} | values
+        rest = [F.col(c) if kind == _ROWS else F.lit(None).cast(chunked.schema[c].dataType).alias(c) for c in narrow]
+        return rows.select(CHUNK, *rest, *[v.alias(n) for n, v in own.items()])
+
+    def scanned(rows: DataFrame, kept: Sequence[str], totals: bool, schema: str, *more: DataFrame) -> DataFrame:
+        wanted = rows.select(CHUNK, item).distinct().join(vectors.hint("merge"), item)
+        whole = lines(rows, _ROWS, _group=key, _item=F.col(item))
+        for part in (lines(wanted, _VECTORS, _item=F.col(item), _vector=F.col("vector").cast("array<double>")), *more):
+            whole = whole.union(part)
+        dealt = whole.repartition(CHUNK).sortWithinPartitions(CHUNK, "_kind", *keys, *order)
+        types = [f"`{c}` {chunked.schema[c].dataType.simpleString()}" for c in kept]
+        return dealt.mapInArrow(_chunk_scan(width, kept, totals), ", ".join([*types, schema]))
+
+    crossing = chunked.join(_crossing(chunked, keys), list(keys), "left_semi").select(*chunked.columns)
+    per_chunk = settle(scanned(crossing, [*keys, CHUNK], True, "_values array<double>"))
+    offsets = _scanned(per_chunk, keys, [CHUNK], width + 1, "_before")
+    offsets = lines(offsets, _OFFSETS, _group=key, _vector=F.col("_before"), _end=F.col("_end"))
+    schema = f"{LAST} boolean, _seen long, _mean array<float>, _own array<float>"
+    return scanned(chunked, narrow, False, schema, offsets)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ludomill.functions import scalars as S
-from ludomill.operators.ordered import LAST, in_chunks, last_per_key, vector_before
+from ludomill.operators.ordered import LAST, chunk_count, in_chunks, last_per_key, means_before
 from ludomill.operators.reviews import one_review_per_pair
+from ludomill.session import settle
+
+# Ids of games that may be sent to every task: 8 MB of numbers.
+BROADCAST_IDS = 1 << 20
 
 
 def transitions(
@@ -36,32 +40,25 @@ def transitions(
     """
     if terminal not in ("reference", "last_kept"):
         raise ValueError(f"unknown terminal mode {terminal!r}")
-    games = unique_vectors(games, games_order)
     order = ["ts", "review_id"] if ordered_by_time else ["review_id"]
     narrow = reviews.select("review_id", "user_id", "game_id", "rating", *order[:-1]).filter("user_id is not null")
     history = one_review_per_pair(narrow, repeats, order)
     if terminal == "last_kept":
         history = history.join(games.select("game_id"), "game_id", "left_semi")
 
-    # Narrow rows are cut into chunks; the wide vectors are joined on after.
-    chunked = in_chunks(history, ["user_id", *order])
-    # Only games that were reviewed, and by a merge join: the estimate takes a vector for a list of one number.
-    reviewed = games.join(chunked.select("game_id").distinct(), "game_id", "left_semi")
-    known = chunked.join(reviewed.select("game_id", "vector").hint("merge"), "game_id", "left")
-    blank = F.array_repeat(F.lit(0.0), width)
-    counted = F.concat(
-        F.coalesce(F.col("vector").cast("array<double>"), blank),
-        F.array(F.col("vector").isNotNull().cast("double")),
-    )
-    scanned = vector_before(known, ["user_id"], order, counted, width + 1, "_sums")
-    seen = F.element_at("_sums", -1)
-    means = F.transform(F.slice("_sums", 1, width), lambda x: F.coalesce(F.try_divide(x, seen), F.lit(0.0)))
-    return scanned.filter("vector is not null").select(
+    # Narrow rows are cut into chunks; of the wide vectors only those of reviewed games are looked at.
+    chunked = in_chunks(history, ["user_id", *order], chunk_count(history, width))
+    reviewed = settle(chunked.select("game_id").distinct())
+    if reviewed.count() <= BROADCAST_IDS:
+        reviewed = F.broadcast(reviewed)
+    known = settle(unique_vectors(games.join(reviewed, "game_id", "left_semi"), games_order))
+    scanned = means_before(chunked, known, "game_id", ["user_id"], order, width)
+    return scanned.select(
         "user_id",
-        (seen + 1).cast("int").alias("step"),
+        (F.col("_seen") + 1).cast("int").alias("step"),
         "review_id",
-        S.as_floats(means).alias("observation"),
-        S.as_floats("vector").alias("action"),
+        F.col("_mean").alias("observation"),
+        F.col("_own").alias("action"),
         S.scaled_reward("rating").cast("float").alias("reward"),
         F.col(LAST).cast("float").alias("terminal"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,7 +15,7 @@ from ludomill.operators import normalise as N
 from ludomill.operators import resolve as R
 from ludomill.operators.transitions import transitions
 from ludomill.plans import tables as T
-from ludomill.session import fresh_folder
+from ludomill.session import fresh_folder, settle
 from ludomill.sources import readers, sinks
 
 
@@ -233,3 +234,41 @@ def test_similar_titles_meet_below_near_developers_only(spark, monkeypatch):
                     whole.add((y, t, u, score, d, e, alike, "title" if score > 90 else "developer"))
     assert found == whole and {w[7] for w in whole} == {"title", "developer"}
     assert sum(counted) < 0.7 * 2 * 200 * 200
+
+
+def bytes_written(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def test_transitions_write_a_vector_once_a_chunk(spark):
+    random = np.random.default_rng(7)
+    vectors = [(g, [None if g == 3 and i == 5 else float(x) for i, x in enumerate(random.normal(size=324))]) for g in range(4)]
+    games = spark.createDataFrame(vectors, "game_id long, vector array<double>")
+    rows = [(i, i % 3 % 2, [0, 1, 2, 3, 9, None][int(random.integers(6))], float(i % 10), i // 3) for i in range(4000)]
+    reviews = spark.createDataFrame(rows, "review_id long, user_id long, game_id long, rating double, ts long")
+    before = bytes_written(spark)
+    got = {r.review_id: r for r in transitions(reviews, games, 324).collect()}
+    assert bytes_written(spark) - before < 1 << 20
+    known, sums, seen, last = dict(vectors), {}, {}, {}
+    numbers = {g: np.array([np.nan if x is None else x for x in v]) for g, v in vectors}
+    for review, user, game, _, _ in sorted(rows, key=lambda r: (r[1], r[4], r[0])):
+        last[user] = review
+        assert (review in got) == (game in known)
+        if game in known:
+            n, total = seen.get(user, 0), sums.get(user, np.zeros(324))
+            assert got[review].step == n + 1 and got[review].action == [None if x is None else float(np.float32(x)) for x in known[game]]
+            np.testing.assert_allclose(got[review].observation, total / max(n, 1), rtol=1e-5, atol=1e-6)
+            seen[user], sums[user] = n + 1, total + numbers[game]
+    assert {r.review_id for r in got.values() if r.terminal} == {r for r in last.values() if r in got}
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    context = spark.sparkContext._jsc.sc()
+    before = context.env().blockManager().diskBlockManager().getAllFiles().size()
+    settle(spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # they are deleted beside the next steps
+        if context.env().blockManager().diskBlockManager().getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert context.env().blockManager().diskBlockManager().getAllFiles().size() <= before
