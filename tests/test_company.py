@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from ludomill.operators import company as W
 from ludomill.operators import embeddings as E
+from ludomill.session import fresh_folder
+
+
+def bytes_written(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, "x")).getParent()
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(folder).getLength() if files.exists(folder) else 0
 
 
 def sentences(rng, n=60, vocabulary=30):
@@ -142,3 +149,32 @@ def test_games_have_vectors_of_their_own(spark):
     same = [cosine(vectors[a], vectors[b]) for a in vectors for b in vectors if a < b and a // 100 == b // 100]
     other = [cosine(vectors[a], vectors[b]) for a in vectors for b in vectors if a // 100 < b // 100]
     assert np.mean(same) > np.mean(other) + 0.1 and abs(np.mean(other)) < 0.05
+
+
+def test_vectors_of_rare_words_are_not_written(spark):
+    rng = random.Random(21)
+    texts = [" ".join(w for k in range(60) for w in (f"w{rng.randrange(30)}", f"own{i}x{k}")) for i in range(300)]
+    texts += [texts[0], texts[1], "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    before = bytes_written(spark)
+    got = {r.id: r for r in E.description_vectors(frame, "id", "text").collect()}
+    # 18,000 words with 128 numbers each would take 18 MB.
+    assert bytes_written(spark) - before < 6 << 20
+    assert got[300].vector == got[0].vector and got[301].vector == got[1].vector and got[302].n_words == got[303].n_words == 0
+    words = frame.select("id", E.words("text").alias("words")).cache()
+    plain = {r.word: np.array(r.vector) for r in W.word_vectors(words, 128).collect()}
+    want = [np.mean([plain.get(w, np.zeros(128)) for w in t.split()], axis=0) for t in texts[:2]]
+    assert np.allclose([got[i].vector for i in (0, 1)], want, atol=1e-5)
+
+
+def test_words_out_of_the_head_are_joined_in_rounds(spark, rows, table, monkeypatch):
+    monkeypatch.setattr(W, "ROUND_PAIRS", 20)
+    monkeypatch.setattr(W, "_ROWS", 3)
+    matrix, turn = W.word_rows(table, 6, contexts=20, shift=1.0)
+    matrix = matrix.cache()
+    plain = {r.word: sum(v * turn[p] for p, v in zip(r.places, r["values"])) for r in matrix.collect()}
+    got = {r.id: r for r in W.mean_vectors(table, matrix, "id", 6, 2, turn=turn).collect()}
+    assert len(got) == len(rows) + 1
+    for i, words in enumerate(rows):
+        mean = np.mean([plain.get(w, np.zeros(6)) for w in words], axis=0) if words else np.zeros(6)
+        assert got[i].n_words == len(words) and np.allclose(got[i].vector, mean, atol=1e-5)
