@@ -277,3 +277,18 @@ def test_unseen_run_under_a_session_with_another_state_store(spark):
     finally:
         spark.conf.set(name, before)
     assert sorted(r.k for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_keys_of_a_stream_are_not_handed_to_python_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "_PICK_ROWS", 3)
+    landing, table = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "a long, b string, at double, body string"
+    rows = [(1, "x", 2.0, "late"), (1, "x", 1.0, "first"), (1, None, 3.0, "n"), (1, None, None, "none"), (None, "x", 1.0, "k"), (2, "x", 5.0, "y")]
+    known = [(2, "x", 0.0, "known"), (None, None, 0.0, "nulls")]
+    spark.createDataFrame(known, schema).withColumn("batch", F.lit("0")).write.partitionBy("batch").parquet(table)
+    spark.createDataFrame([*rows, *rows, (None, None, 1.0, "z")], schema).repartition(3).write.parquet(landing)
+    stream = I.landed_stream(spark, landing, schema)
+    plan = I.unseen(stream, ["a", "b"], ["at"])._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
+    I.unseen_run(stream, table, str(tmp_path / "state"), ["a", "b"], ["at"]).awaitTermination()
+    assert sorted(r.body for r in spark.read.parquet(table).collect()) == ["first", "k", "known", "none", "nulls"]
