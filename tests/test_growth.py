@@ -289,3 +289,18 @@ def test_search_writes_a_row_a_query_however_many_blocks_it_asks(spark, monkeypa
     scores = np.round(unit @ unit.T, 6)
     np.fill_diagonal(scores, -np.inf)
     assert found == {(q, k + 1, int(i)) for q in range(1500) for k, i in enumerate(np.argsort(-scores[q], kind="stable")[:5])}
+
+
+def test_nodes_of_one_component_do_not_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(A, "LINK_BLOCK", 64)
+    rows = [(i, 2000 + i % 2, f"{10_000 + i} bolt hot", "steel") for i in range(600)]
+    rows += [(1000, 2001, "nothing of the sort", "steel"), (1001, 2001, "10007 bolt hot", "tin"), (1, 2003, "lone", "")]
+    frame = spark.createDataFrame(rows, "node int, year int, text string, note string")
+    asked, old = [], A._met_links
+    monkeypatch.setattr(A, "_met_links", lambda rows, *more: asked.append(rows) or old(rows, *more))
+    roots = {r.node: r.root for r in A.similar_groups(frame, 90, 70, ["year"]).collect()}
+    assert roots == {**{i: i % 2 for i in range(600)}, 1000: 1000, 1001: 1}
+    # Speakers only, and then the one year that holds more than one component, whose large one does not meet itself.
+    assert asked[0].count() < 60
+    assert {r.year for r in asked[1].select("year").distinct().collect()} == {2001}
+    assert asked[1].filter("_first < 0").count() < 64 and asked[1].filter("_first >= 0 and _own >= _first and _own < _end").count() > 290
