@@ -304,3 +304,17 @@ def test_nodes_of_one_component_do_not_meet_again(spark, monkeypatch):
     assert asked[0].count() < 60
     assert {r.year for r in asked[1].select("year").distinct().collect()} == {2001}
     assert asked[1].filter("_first < 0").count() < 64 and asked[1].filter("_first >= 0 and _own >= _first and _own < _end").count() > 290
+
+
+def test_pairs_leave_a_task_in_parts_and_texts_are_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 16)
+    dealt, old = [], A._streamed
+    monkeypatch.setattr(A, "_streamed", lambda left, right, *more: dealt.extend((left, right)) or old(left, right, *more))
+    texts = [f"hot bolt {i * 7}" for i in range(70)]
+    left = spark.createDataFrame([(t, y) for t in texts for y in (1, 2)], "text string, year int")
+    right = spark.createDataFrame([(f"{t} b", y, i) for i, t in enumerate(texts) for y in (2, 3)], "text string, year int, entry_id int")
+    found = A.similar_pairs(left, right, 80, on=["year"], kept=["entry_id"])
+    want = {(2, t, f"{u} b", p, i) for t in texts for i, u in enumerate(texts) if (p := percent_alike(t, f"{u} b")) >= 80}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) > 1000 and set(got) == want
+    assert [d.count() for d in dealt] == [70, 70]
